@@ -56,7 +56,7 @@ def cell_metrics(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Co
         "recall": recall,
         "specificity": specificity,
         "f1": ratio(2 * precision * recall, precision + recall),
-        "mcc": ratio(tp * tn - fp * fn, F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)),
+        "mcc": ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))),
         "false_negative_rate": ratio(fn, tp + fn),
         "false_positive_rate": ratio(fp, tn + fp),
     }
