@@ -124,6 +124,7 @@ class Reference:
     features: tuple[str, ...]
     baseline: dict[str, float] = field(default_factory=dict)
     _frozen: dict | None = None
+    _mix: dict[str, int] | None = None
 
     def frozen(self) -> dict[str, dict]:
         """Edges and shares per feature as plain literals: one row per schema feature."""
@@ -132,6 +133,12 @@ class Reference:
             self._frozen = {r["feature"]: r.asDict() for r in rows}
         return self._frozen
 
+    def class_mix(self) -> dict[str, int]:
+        """Reference count per configured class."""
+        if self._mix is None:
+            self._mix = {str(r["category"]): int(r["n"]) for r in self.classes.collect()}
+        return self._mix
+
 
 def reference_stats(
     df: DataFrame, features: Sequence[str], n_bins: int = params.PSI_BINS
@@ -323,66 +330,74 @@ def ks_two_sample(
 # -- chi-square --------------------------------------------------------------
 
 
-def align_categories(
-    current: DataFrame, by: Sequence[str], reference_counts: DataFrame
-) -> DataFrame:
-    """Union of categories per group, a missing side counting 0, empty pairs dropped.
+def align_categories(current: DataFrame, reference_counts: DataFrame) -> DataFrame:
+    """Union of the categories of two ``(category, n)`` tables, a missing side counting 0.
 
-    *current* is ``(by..., category, n)``; *reference_counts* ``(category, n)``. The group list
-    is joined with the reference categories by a plain join, no broadcast is forced.
+    Categories that are empty on both sides are dropped.
     """
-    by = list(by)
-    cur = current.select(*by, "category", F.col("n").alias("n_cur"), F.lit(0).cast("bigint").alias("n_ref"))
     ref = reference_counts.select("category", F.col("n").alias("n_ref"))
-    groups = current.select(*by).distinct() if by else None
-    ref_side = groups.join(ref) if groups is not None else ref
-    ref_rows = ref_side.select(*by, "category", F.lit(0).cast("bigint").alias("n_cur"), "n_ref")
+    cur = current.select("category", F.col("n").alias("n_cur"))
     return (
-        cur.unionByName(ref_rows)
-        .groupBy(*by, "category")
-        .agg(F.sum("n_cur").alias("n_cur"), F.sum("n_ref").alias("n_ref"))
-        .where(F.col("n_cur") + F.col("n_ref") > 0)
+        ref.join(cur, "category", "full")
+        .select(
+            "category",
+            F.coalesce("n_ref", F.lit(0)).alias("n_ref"),
+            F.coalesce("n_cur", F.lit(0)).alias("n_cur"),
+        )
+        .where(F.col("n_ref") + F.col("n_cur") > 0)
     )
 
 
-def chi_square_of(
-    k: Column, ref: Column, cur: Column, ref_part: Column, cur_part: Column, first: Column, last: Column
+def chi_square_columns(
+    n_cur: Column, matched_ref: Column, ref_part: Column, cur_part: Column,
+    k_matched: Column, k_current: Column, one: Column, reference_mix: dict[str, int],
 ) -> tuple[Column, Column]:
-    """Statistic and dof from sums over categories.
+    """Chi-square statistic and dof of a group from sums over its own categories.
 
-    ``ref_part`` is the sum of ``ref_c^2 / total_c`` and likewise ``cur_part``. Two categories get the
-    continuity correction, built from the first and last category's counts.
+    A reference category the group never shows adds exactly its reference count to the
+    reference part, so the group's rows suffice and the tables are never crossed.
+    ``one`` is the (n_ref, n_cur) pair of any one category: with two categories it fixes
+    the whole table, which then gets the continuity correction.
     """
-    ref, cur = ref.cast("double"), cur.cast("double")
+    mix = {c: n for c, n in reference_mix.items() if n > 0}
+    ref = F.lit(float(sum(mix.values())))
+    cur = n_cur.cast("double")
     n = ref + cur
-    plain = n * (ref_part / ref + cur_part / cur - 1.0)
-    det = F.abs(first["n_ref"].cast("double") * last["n_cur"] - last["n_ref"].cast("double") * first["n_cur"])
-    cols = (first["n_ref"] + first["n_cur"]).cast("double") * (last["n_ref"] + last["n_cur"])
+    full_ref_part = ref_part + (ref - matched_ref)
+    plain = n * (full_ref_part / ref + cur_part / cur - 1.0)
+    k = k_current + F.lit(len(mix)) - k_matched
+    col = (one["n_ref"] + one["n_cur"]).cast("double")
+    det = F.abs(one["n_ref"] * cur - ref * one["n_cur"])
     shrunk = F.greatest(det - n / 2.0, F.lit(0.0))
-    yates = n * shrunk * shrunk / (ref * cur * cols)
+    yates = n * shrunk * shrunk / (ref * cur * col * (n - col))
     usable = (k >= 2) & (ref > 0) & (cur > 0)
-    return F.when(usable, F.when(k == 2, yates).otherwise(plain)), F.when(usable, k - 1)
+    return F.when(usable, F.when(k == 2, yates).otherwise(plain)), F.when(usable, (k - 1).cast("int"))
+
 
+def chi_square_mix(current: DataFrame, by: Sequence[str], reference_mix: dict[str, int]) -> DataFrame:
+    """Chi-square of each group's ``(by..., category, n)`` mix against the reference mix.
 
-def chi_square_mix(current: DataFrame, by: Sequence[str], reference_counts: DataFrame) -> DataFrame:
-    """Chi-square of each group's category mix against the reference mix."""
-    aligned = align_categories(current, by, reference_counts)
+    The reference mix is a frozen class list: its size is that of the configuration.
+    """
+    pairs = [x for c, n in reference_mix.items() if n > 0 for x in (F.lit(str(c)), F.lit(int(n)).cast("bigint"))]
+    zero = F.lit(0).cast("bigint")
+    n_ref = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("category")), zero) if pairs else zero
+    rows = current.where(F.col("n") > 0).select(*by, "category", F.col("n").alias("n_cur"), n_ref.alias("n_ref"))
     total = (F.col("n_cur") + F.col("n_ref")).cast("double")
-    pair = F.struct("n_ref", "n_cur")
-    agg = aligned.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_categories"),
-        F.sum("n_ref").alias("n_reference"),
+    agg = rows.groupBy(*by).agg(
         F.sum("n_cur").alias("n_current"),
-        F.sum(F.col("n_ref") * F.col("n_ref") / total).alias("_rp"),
-        F.sum(F.col("n_cur") * F.col("n_cur") / total).alias("_cp"),
-        F.min_by(pair, "category").alias("_first"),
-        F.max_by(pair, "category").alias("_last"),
+        F.sum("n_ref").alias("_matched"),
+        F.sum(F.col("n_ref").cast("double") * F.col("n_ref") / total).alias("_rp"),
+        F.sum(F.col("n_cur").cast("double") * F.col("n_cur") / total).alias("_cp"),
+        F.count_if(F.col("n_ref") > 0).alias("_km"),
+        F.count(F.lit(1)).alias("_kc"),
+        F.min_by(F.struct("n_ref", "n_cur"), "category").alias("_one"),
     )
-    stat, dof = chi_square_of(
-        F.col("n_categories"), F.col("n_reference"), F.col("n_current"), F.col("_rp"), F.col("_cp"),
-        F.col("_first"), F.col("_last"),
+    stat, dof = chi_square_columns(
+        F.col("n_current"), F.col("_matched"), F.col("_rp"), F.col("_cp"),
+        F.col("_km"), F.col("_kc"), F.col("_one"), reference_mix,
     )
-    out = agg.select(*by, "n_categories", "n_reference", "n_current", stat.alias("chi2"), dof.alias("dof"))
+    out = agg.select(*by, "n_current", stat.alias("chi2"), dof.alias("dof"))
     return out.withColumn("pvalue", chi2_pvalue(F.col("chi2"), F.col("dof")))
 
 
