@@ -68,9 +68,12 @@ def range_number(order: Sequence[str], cuts: Sequence[tuple]) -> Column:
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which null keys match each other; the right key copies are dropped."""
+    """Equi-join in which null keys match each other; the right key copies are dropped.
+
+    Without keys both sides must be one-row aggregates, which are put side by side.
+    """
     if not on:
-        return left.crossJoin(right)
+        return left.join(right)
     renamed = right.select(
         *[F.col(c).alias(f"_right_{c}") if c in on else F.col(c) for c in right.columns]
     )

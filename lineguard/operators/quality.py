@@ -325,23 +325,31 @@ def request_gate(
     content_types: Sequence[str] = params.CONTENT_TYPES,
     formats: Sequence[str] = params.UPLOAD_FORMATS,
 ) -> Column:
-    """``struct(error_code, status)`` of one upload; a null code means accepted.
+    """``struct(error_code, reason, status)`` of one upload; a null code means accepted.
 
     Order: empty, too large, content type, undecodable, format. An absent content type or
     format is not an error.
     """
 
-    def bad(code: str, status: int) -> Column:
-        return F.struct(F.lit(code).alias("error_code"), F.lit(status).alias("status"))
+    def bad(code: str, reason: str, status: int) -> Column:
+        return F.struct(
+            F.lit(code).alias("error_code"), F.lit(reason).alias("reason"), F.lit(status).alias("status")
+        )
 
     kind = F.lower(F.trim(F.split_part(content_type, F.lit(";"), F.lit(1))))
     known_kind = F.coalesce(content_type, F.lit("")) != ""
     known_format = F.coalesce(image_format, F.lit("")) != ""
     return (
-        F.when(F.coalesce(size, F.lit(0)) == 0, bad("invalid_image", 400))
-        .when(size > max_bytes, bad("payload_too_large", 413))
-        .when(known_kind & ~kind.isin(list(content_types)), bad("unsupported_type", 415))
-        .when(~decodable, bad("invalid_image", 400))
-        .when(known_format & ~F.upper(image_format).isin(list(formats)), bad("unsupported_format", 415))
-        .otherwise(F.struct(F.lit(None).cast("string").alias("error_code"), F.lit(200).alias("status")))
+        F.when(F.coalesce(size, F.lit(0)) == 0, bad("invalid_image", "empty", 400))
+        .when(size > max_bytes, bad("payload_too_large", "size", 413))
+        .when(known_kind & ~kind.isin(list(content_types)), bad("invalid_image", "content_type", 415))
+        .when(~decodable, bad("invalid_image", "undecodable", 400))
+        .when(known_format & ~F.upper(image_format).isin(list(formats)), bad("invalid_image", "format", 415))
+        .otherwise(
+            F.struct(
+                F.lit(None).cast("string").alias("error_code"),
+                F.lit(None).cast("string").alias("reason"),
+                F.lit(200).alias("status"),
+            )
+        )
     )
