@@ -204,18 +204,23 @@ def build_reference(
 # -- bins and PSI ------------------------------------------------------------
 
 
-def bin_counts(df: DataFrame, by: Sequence[str], reference: Reference, features: Sequence[str]) -> DataFrame:
-    """Per group and feature: counts per frozen bin, n and mean of finite values.
+def wide_bin_counts(
+    df: DataFrame,
+    by: Sequence[str | Column],
+    reference: Reference,
+    features: Sequence[str],
+    *extra: Column,
+) -> DataFrame:
+    """One row per group with an ``entries`` array: per feature its bin counts, n and mean.
 
     One wide aggregate with conditional counts: rows are neither multiplied by the
-    number of features nor shuffled before they are combined. Zero bins are kept.
+    number of features nor shuffled before they are combined. Zero bins are kept,
+    features without a finite value in the group are left out. ``extra`` aggregates
+    ride along; their inputs must be columns of *df*.
     """
     frozen = reference.frozen()
     used = [f for f in features if f in frozen and f in df.columns]
-    binned = df.select(
-        *by,
-        *[finite_only(F.col(f).cast("double")).alias(f"_v_{f}") for f in used],
-    ).select(
+    binned = df.select("*", *[finite_only(F.col(f).cast("double")).alias(f"_v_{f}") for f in used]).select(
         "*",
         *[
             F.when(F.col(f"_v_{f}").isNotNull(), bin_of_literal(F.col(f"_v_{f}"), frozen[f]["bin_edges"])).alias(
@@ -224,17 +229,18 @@ def bin_counts(df: DataFrame, by: Sequence[str], reference: Reference, features:
             for f in used
         ],
     )
-    aggs: list[Column] = []
+    n_bins = {f: len(frozen[f]["bin_edges"]) - 1 for f in used}
+    aggs: list[Column] = list(extra)
     for f in used:
-        aggs += [F.count_if(F.col(f"_b_{f}") == i).alias(f"_c_{f}_{i}") for i in range(len(frozen[f]["bin_edges"]) - 1)]
+        aggs += [F.count_if(F.col(f"_b_{f}") == i).alias(f"_c_{f}_{i}") for i in range(n_bins[f])]
         aggs += [F.count(f"_v_{f}").alias(f"_n_{f}"), F.avg(f"_v_{f}").alias(f"_m_{f}")]
     wide = binned.groupBy(*by).agg(*aggs)
     entry = [
         F.struct(
             F.lit(f).alias("feature"),
             F.lit(pos).alias("feature_pos"),
-            F.array(*[F.col(f"_c_{f}_{i}") for i in range(len(frozen[f]["bin_edges"]) - 1)]).alias("counts"),
-            F.array(*[F.lit(float(s)) for s in frozen[f]["bin_shares"]]).alias("ref_shares"),
+            F.array(*[F.col(f"_c_{f}_{i}") for i in range(n_bins[f])]).alias("counts"),
+            F.array(*[F.lit(float(x)) for x in frozen[f]["bin_shares"]]).alias("ref_shares"),
             F.col(f"_n_{f}").alias("n_current"),
             F.col(f"_m_{f}").alias("current_mean"),
             F.lit(frozen[f]["n"]).cast("bigint").alias("n_reference"),
@@ -242,8 +248,36 @@ def bin_counts(df: DataFrame, by: Sequence[str], reference: Reference, features:
         )
         for pos, f in enumerate(used)
     ]
-    long = wide.select(*by, F.explode(F.array(*entry)).alias("_e")).select(*by, "_e.*")
-    return long.where(F.col("n_current") > 0)
+    internal = {f"_{k}_{f}" for f in used for k in ("n", "m")}
+    internal |= {f"_c_{f}_{i}" for f in used for i in range(n_bins[f])}
+    kept = [c for c in wide.columns if c not in internal]
+    return wide.select(*kept, F.filter(F.array(*entry), lambda e: e["n_current"] > 0).alias("entries"))
+
+
+def with_psi(entries: Column, warn: float, alert: float) -> Column:
+    """Entries with ``psi``, ``mean_shift`` and ``severity`` in place of the bins."""
+
+    def scored(e: Column) -> Column:
+        value = psi_of(e["counts"], e["n_current"], e["ref_shares"])
+        return F.struct(
+            e["feature"].alias("feature"),
+            e["feature_pos"].alias("feature_pos"),
+            value.alias("psi"),
+            e["reference_mean"].alias("reference_mean"),
+            e["current_mean"].alias("current_mean"),
+            (e["current_mean"] - e["reference_mean"]).alias("mean_shift"),
+            severity(value, warn, alert).alias("severity"),
+            e["n_reference"].alias("n_reference"),
+            e["n_current"].alias("n_current"),
+        )
+
+    return F.transform(entries, scored)
+
+
+def bin_counts(df: DataFrame, by: Sequence[str], reference: Reference, features: Sequence[str]) -> DataFrame:
+    """Long form of ``wide_bin_counts``: one row per (group, feature)."""
+    wide = wide_bin_counts(df, by, reference, features)
+    return wide.select(*by, F.explode("entries").alias("_e")).select(*by, "_e.*")
 
 
 def bin_shares(df: DataFrame, by: Sequence[str], reference: Reference, features: Sequence[str]) -> DataFrame:
@@ -270,10 +304,19 @@ def psi_of(counts: Column, total: Column, ref_shares: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
 
-def psi(df: DataFrame, by: Sequence[str], reference: Reference, features: Sequence[str]) -> DataFrame:
-    counts = bin_counts(df, by, reference, features)
-    value = psi_of(F.col("counts"), F.col("n_current"), F.col("ref_shares"))
-    return counts.withColumn("psi", value).drop("counts", "ref_shares")
+def psi(
+    df: DataFrame,
+    by: Sequence[str],
+    reference: Reference,
+    features: Sequence[str],
+    *,
+    warn: float = params.MONITORING["psi_warn"],
+    alert: float = params.MONITORING["psi_alert"],
+) -> DataFrame:
+    """PSI, means and severity per (group, feature)."""
+    wide = wide_bin_counts(df, by, reference, features)
+    scored = F.explode(with_psi(F.col("entries"), warn, alert)).alias("_e")
+    return wide.select(*by, scored).select(*by, "_e.*")
 
 
 # -- two-sample KS -----------------------------------------------------------
@@ -418,51 +461,46 @@ def feature_drift(
     """PSI, KS, means and severity for every (group, feature) in one job."""
     by = list(by)
     features = list(features or reference.features)
-    base = psi(df, by, reference, features)
+    base = psi(df, by, reference, features, warn=warn, alert=alert)
     if with_ks:
         ks = ks_two_sample(df, by, reference, features, bounded=bounded)
         ks = ks.select(*by, "feature", "ks_statistic", "ks_pvalue")
-        base = null_safe_join(base, ks, [*by, "feature"], "left")
-    else:
-        null = F.lit(None).cast("double")
-        base = base.withColumns({"ks_statistic": null, "ks_pvalue": null})
-    return base.select(
-        *by,
-        "feature",
-        "feature_pos",
-        "psi",
-        "ks_statistic",
-        "ks_pvalue",
-        "reference_mean",
-        "current_mean",
-        (F.col("current_mean") - F.col("reference_mean")).alias("mean_shift"),
-        severity(F.col("psi"), warn, alert).alias("severity"),
-        "n_reference",
-        "n_current",
+        return null_safe_join(base, ks, [*by, "feature"], "left")
+    null = F.lit(None).cast("double")
+    return base.withColumns({"ks_statistic": null, "ks_pvalue": null})
+
+
+def rollup_columns(entries: Column) -> dict[str, Column]:
+    """Maxima, counts and lists over an array of per-feature drift entries."""
+    scored = F.filter(entries, lambda e: finite(e["psi"]))
+    values = F.transform(scored, lambda e: e["psi"])
+    moved = F.filter(entries, lambda e: e["severity"].isin("moderate", "significant"))
+    sig = F.filter(entries, lambda e: e["severity"] == "significant")
+    ranked = F.transform(
+        scored, lambda e: F.struct(e["psi"].alias("psi"), (-e["feature_pos"]).alias("pos"), e["feature"].alias("feature"))
     )
 
+    def names(a: Column) -> Column:
+        return F.array_sort(F.transform(a, lambda e: e["feature"]))
 
-def drift_rollup(drift: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Group-level maxima, counts and lists over per-feature drift rows.
+    mean = F.aggregate(values, F.lit(0.0), lambda x, y: x + y) / F.nullif(F.size(values), F.lit(0))
+    return {
+        "psi_max": F.coalesce(F.array_max(values), F.lit(0.0)),
+        "psi_mean": F.coalesce(mean, F.lit(0.0)),
+        "n_features": F.size(entries),
+        "n_drifted": F.size(moved),
+        "n_significant": F.size(sig),
+        "drifted_features": names(moved),
+        "significant_features": names(sig),
+        "worst_feature": F.array_max(ranked)["feature"],
+    }
 
-    Lists hold at most one entry per schema feature.
-    """
-    ok = finite(F.col("psi"))
-    moved = F.col("severity").isin("moderate", "significant")
-    sig = F.col("severity") == "significant"
-    return drift.groupBy(*by).agg(
-        F.coalesce(F.max(F.when(ok, F.col("psi"))), F.lit(0.0)).alias("psi_max"),
-        F.coalesce(F.avg(F.when(ok, F.col("psi"))), F.lit(0.0)).alias("psi_mean"),
-        F.count(F.lit(1)).alias("n_features"),
-        F.count_if(moved).alias("n_drifted"),
-        F.count_if(sig).alias("n_significant"),
-        F.array_sort(F.collect_list(F.when(moved, F.col("feature")))).alias("drifted_features"),
-        F.array_sort(F.collect_list(F.when(sig, F.col("feature")))).alias("significant_features"),
-        F.max_by(
-            F.when(ok, F.col("feature")),
-            F.when(ok, F.struct("psi", (-F.col("feature_pos")).alias("pos"))),
-        ).alias("worst_feature"),
-    )
+
+def drift_rollup(drift: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Group-level rollup of per-feature drift rows (one entry per schema feature)."""
+    entry = F.struct("feature", "feature_pos", "psi", "severity")
+    packed = drift.groupBy(*by).agg(F.collect_list(entry).alias("_entries"))
+    return packed.select(*by, *[c.alias(n) for n, c in rollup_columns(F.col("_entries")).items()])
 
 
 def psi_matrix(drift: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
