@@ -54,7 +54,7 @@ def statistics(gray: np.ndarray) -> tuple[float, ...]:
         gx = col[:, 2:] - col[:, :-2]
         row = gray[:, :-2] + 2.0 * gray[:, 1:-1] + gray[:, 2:]
         gy = row[2:] - row[:-2]
-        edges = float(np.mean(np.hypot(gx, gy) > 4.0 * EDGE_THRESHOLD))
+        edges = float(np.mean(np.hypot(gx, gy) / 4.0 > EDGE_THRESHOLD))
         lap = up[:, 1:-1] + down[:, 1:-1] + mid[:, :-2] + mid[:, 2:] - 4.0 * mid[:, 1:-1]
         lap_var = float(lap.var())
     bins = np.minimum((gray * ENTROPY_BINS).astype(np.int64), ENTROPY_BINS - 1)
