@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: up to this sample size the exact two-sample distribution is used.
 KS_EXACT_LIMIT = 10_000
@@ -88,11 +89,11 @@ def chi2_sf_value(x: float, dof: int) -> float | None:
     return float(min(1.0, total))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ks_pvalue(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series([ks_pvalue_value(a, b, c) for a, b, c in zip(d, n, m)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_pvalue(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf_value(a, b) for a, b in zip(x, dof)], dtype="float64")

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GRID_ROWS, GRID_COLS = 8, 9
 _SPLIT = re.compile("[^a-z0-9]+")
@@ -31,7 +32,7 @@ def grid_key(text: str, cells: dict[str, int]) -> str:
     return np.packbits((grid[:, 1:] > grid[:, :-1]).ravel()).tobytes().hex()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def text_grid_key(texts: pd.Series) -> pd.Series:
     cells: dict[str, int] = {}  # token cells repeat within a batch
     return texts.map(lambda t: None if t is None else grid_key(t, cells))

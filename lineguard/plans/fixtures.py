@@ -170,13 +170,12 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     folder = F.when(F.col("quality") == 1, "ok_front").when(F.col("quality") == 0, "def_front").otherwise("unsorted")
     ext = F.when(F.col("doc_id") % 11 == 0, "txt").otherwise("png")
+    doc = F.col("doc_id")
     path = F.concat(
-        F.lit("/raw/"), F.col("lang"), F.lit("/"), F.col("source"), F.lit("/"), F.lit("cam"),
-        (F.col("doc_id") % 2).cast("string"), F.lit("/"), folder, F.lit("/part_"),
-        (F.col("doc_id") % 40).cast("string"), F.lit("."), ext,
+        F.lit("/raw/"), doc.cast("string"), F.lit("/cam"), (doc % 2).cast("string"), F.lit("/"), folder,
+        F.lit("/part_"), (doc % 40).cast("string"), F.lit("."), ext,
     )
-    # The source folder keeps paths apart; the k-th file of one folder gets its own directory.
-    return docs.select(F.regexp_replace(path, "/cam", F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit("/cam"))).alias("path"))
+    return docs.select(path.alias("path"))
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
