@@ -33,6 +33,39 @@ def _draw_metrics(cells: np.ndarray, metric: str) -> np.ndarray:
     return safe(2 * tp, 2 * tp + fp + fn)
 
 
+def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
+    """Uniforms in (0, 1) from 64-bit keys, by the splitmix finaliser."""
+    with np.errstate(over="ignore"):
+        z = keys.astype(np.uint64) + np.uint64(salt + 1) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
+    return ((z >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+
+
+def _poisson(mean: np.ndarray, keys: np.ndarray, salt: int, normal_from: int = 64) -> np.ndarray:
+    """Poisson draws by inversion; large means use the normal limit."""
+    mean = mean.astype(float)
+    u = _uniform(keys, 2 * salt)
+    out = np.zeros(len(mean), dtype=np.int64)
+    small = mean < normal_from
+    term = np.exp(-np.where(small, mean, 0.0))
+    total, k = term.copy(), 0
+    open_rows = small & (u > total)
+    while open_rows.any() and k < 4 * normal_from + 64:
+        k += 1
+        term = term * mean / k
+        total = total + term
+        out[open_rows] = k
+        open_rows = open_rows & (u > total)
+    big = ~small
+    if big.any():
+        v = _uniform(keys[big], 2 * salt + 1)
+        normal = np.sqrt(-2.0 * np.log(u[big])) * np.cos(2.0 * np.pi * v)
+        out[big] = np.maximum(0, np.rint(mean[big] + np.sqrt(mean[big]) * normal)).astype(np.int64)
+    return out
+
+
 def bootstrap_cells(
     df: DataFrame,
     by: Sequence[str],
@@ -111,10 +144,10 @@ def bootstrap_ranked(
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            # The draw depends on the row, not on the batch or task it lands in.
+            # Draws depend on the row itself, not on the batch or task it lands in.
             keys = pd.util.hash_pandas_object(pdf[[*by, "replicate", "score"]], index=False).to_numpy()
-            draws = np.array([np.random.default_rng([seed, int(k)]).poisson(lam) for k, lam in zip(keys, pdf[["pos", "neg"]].to_numpy())])
-            yield pdf.assign(pos=draws[:, 0], neg=draws[:, 1])
+            pos = _poisson(pdf["pos"].to_numpy(), keys, seed)
+            yield pdf.assign(pos=pos, neg=_poisson(pdf["neg"].to_numpy(), keys, seed + 1))
 
     weighted = reps.mapInPandas(weigh, reps.schema)
     weighted = weighted.where(F.col("pos") + F.col("neg") > 0)

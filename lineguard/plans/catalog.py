@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lineguard.plans import log_queries, metric_queries  # noqa: F401
+from lineguard.plans import drift_queries, log_queries, metric_queries  # noqa: F401
 from lineguard.plans.registry import ORACLES, QUERIES, Query
 
 
