@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from lineguard.plans import drift_queries, log_queries, metric_queries  # noqa: F401
+from lineguard.plans import (  # noqa: F401
+    corpus_queries,
+    drift_queries,
+    image_queries,
+    log_queries,
+    metric_queries,
+    run_queries,
+)
 from lineguard.plans.registry import ORACLES, QUERIES, Query
 
 
