@@ -476,8 +476,12 @@ def rollup_columns(entries: Column) -> dict[str, Column]:
     values = F.transform(scored, lambda e: e["psi"])
     moved = F.filter(entries, lambda e: e["severity"].isin("moderate", "significant"))
     sig = F.filter(entries, lambda e: e["severity"] == "significant")
+    # Rounded, so that values differing only in summation order tie and feature order decides.
     ranked = F.transform(
-        scored, lambda e: F.struct(e["psi"].alias("psi"), (-e["feature_pos"]).alias("pos"), e["feature"].alias("feature"))
+        scored,
+        lambda e: F.struct(
+            F.round(e["psi"], 9).alias("psi"), (-e["feature_pos"]).alias("pos"), e["feature"].alias("feature")
+        ),
     )
 
     def names(a: Column) -> Column:

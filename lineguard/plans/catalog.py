@@ -9,6 +9,7 @@ from lineguard.plans import (  # noqa: F401
     log_queries,
     metric_queries,
     run_queries,
+    stream_queries,
 )
 from lineguard.plans.registry import ORACLES, QUERIES, Query
 

@@ -254,7 +254,7 @@ rollup_rows AS (SELECT scenario, max(psi) AS psi_max, avg(psi) AS psi_mean, coun
   count(*) FILTER (psi >= 0.1) AS n_drifted, count(*) FILTER (psi >= 0.25) AS n_significant,
   coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (psi >= 0.1), '') AS drifted_features,
   coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (psi >= 0.25), '') AS significant_features,
-  first(feature ORDER BY psi DESC, pos) AS worst_feature FROM drift GROUP BY 1)"""
+  first(feature ORDER BY round(psi, 9) DESC, pos) AS worst_feature FROM drift GROUP BY 1)"""
 
 
 @register(
@@ -297,7 +297,7 @@ def _signals(key: str) -> str:
     return f"""
 {drift_sql('wl', key)},
 roll AS (SELECT {key}, max(psi) AS psi_max, avg(psi) AS psi_mean, count(*) FILTER (psi >= 0.1) AS n_drifted, count(*) FILTER (psi >= 0.25) AS n_significant,
-  coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (psi >= 0.1), '') AS drifted_features, first(feature ORDER BY psi DESC, pos) AS worst_feature FROM drift GROUP BY 1),
+  coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (psi >= 0.1), '') AS drifted_features, first(feature ORDER BY round(psi, 9) DESC, pos) AS worst_feature FROM drift GROUP BY 1),
 beh AS (SELECT {key}, count(*) AS n_samples, avg(greatest(probability, 1.0::double - probability)) AS mean_confidence, avg(probability) AS mean_probability,
   avg(predicted_label::double) AS predicted_defect_rate, avg((decision = 'human_review')::int::double) AS review_rate, count(ground_truth) AS n_labeled,
   count(*) FILTER (predicted_label = 0)::double AS n_ok, count(*) FILTER (predicted_label = 1)::double AS n_defect,

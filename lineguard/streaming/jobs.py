@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lineguard import params
 from lineguard.functions.columns import max_confidence, ratio
@@ -144,7 +144,7 @@ TRIGGER_SCHEMA = T.StructType(
         T.StructField("notified", T.BooleanType()),
     ]
 )
-_STREAKS = T.StructType([T.StructField("streaks", T.StringType()), T.StructField("last_fired", T.DoubleType())])
+_STATE_SCHEMA = T.StructType([T.StructField("streaks", T.StringType()), T.StructField("last_fired", T.DoubleType())])
 
 
 def step_trigger(
@@ -168,33 +168,21 @@ def step_trigger(
     return fresh, row["at"] if notify else last_fired, fired, notify
 
 
-class _Trigger(StatefulProcessor):
-    """Consecutive-breach counters and the time of the last notification, per model."""
+def _trigger_batch(rules: Sequence[tuple], n: int, cooldown_s: float):
+    """State update of one model for the windows that closed since the last batch."""
 
-    def __init__(self, rules: Sequence[tuple], n: int, cooldown_s: float) -> None:
-        self.rules, self.n, self.cooldown_s = list(rules), n, cooldown_s
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("trigger", _STREAKS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        streaks: dict[str, int] = {}
-        last: float | None = None
-        if self.state.exists():
-            text, last = self.state.get()
-            streaks = {k: int(v) for k, v in (p.split("=") for p in text.split(";") if p)}
-        # Rows are one per window; a micro-batch delivers the few windows that just closed.
-        batch = pd.concat(list(rows)).sort_values("window_index")
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        text, last = state.get if state.exists else ("", None)
+        streaks = {k: int(v) for k, v in (p.split("=") for p in text.split(";") if p)}
         out = []
-        for row in batch.to_dict("records"):
-            streaks, last, fired, notify = step_trigger(streaks, last, row, self.rules, self.n, self.cooldown_s)
+        for row in pd.concat(list(frames)).sort_values("window_index").to_dict("records"):
+            streaks, last, fired, notify = step_trigger(streaks, last, row, rules, n, cooldown_s)
             if fired:
                 out.append((key[0], int(row["window_index"]), ",".join(fired), notify))
-        self.state.update((";".join(f"{k}={v}" for k, v in streaks.items()), last))
+        state.update((";".join(f"{k}={v}" for k, v in streaks.items()), last))
         yield pd.DataFrame(out, columns=TRIGGER_SCHEMA.names)
 
-    def close(self) -> None:
-        pass
+    return update
 
 
 def stateful_trigger(
@@ -206,19 +194,13 @@ def stateful_trigger(
 ) -> DataFrame:
     """Fired rules per window, with a cooldown between notifications.
 
+    State per model: a breach counter per rule and the time of the last notification.
     *signals* streams ``(model, window_index, at, metrics...)``, ``at`` being epoch seconds.
     """
-    return signals.groupBy("model").transformWithStateInPandas(
-        statefulProcessor=_Trigger(rules, n, cooldown_hours * 3600.0),
-        outputStructType=TRIGGER_SCHEMA,
-        outputMode="Append",
-        timeMode="None",
+    return signals.groupBy("model").applyInPandasWithState(
+        _trigger_batch(list(rules), n, cooldown_hours * 3600.0),
+        TRIGGER_SCHEMA,
+        _STATE_SCHEMA,
+        "append",
+        GroupStateTimeout.NoTimeout,
     )
-
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb_state(spark: SparkSession) -> None:
-    """``transformWithState`` keeps its state in RocksDB."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
