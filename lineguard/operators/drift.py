@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 from lineguard import params
 from lineguard.functions.columns import finite, finite_only, severity
 from lineguard.functions.pvalues import chi2_pvalue, ks_pvalue
-from lineguard.operators.ordered import exact_quantiles, null_safe_join, running_sums, value_counts
+from lineguard.operators.ordered import (
+    cut_points,
+    default_parts,
+    exact_quantiles,
+    null_safe_join,
+    running_sums,
+    value_counts,
+)
+from lineguard.session import stage
 
 INF = float("inf")
 
@@ -55,13 +63,13 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.size(F.filter(inner, lambda e: e <= value))
 
 
-def bin_of_literal(value: Column, edges: Sequence[float]) -> Column:
+def bin_of_literal(value: str, edges: Sequence[float]) -> Column:
     """The same rule with literal edges, as a CASE that stays in generated code."""
     inner = list(edges[1:-1])
-    at: Column | None = None
-    for i, e in enumerate(inner):
-        at = F.when(value < F.lit(e), i) if at is None else at.when(value < F.lit(e), i)
-    return F.lit(0) if at is None else at.otherwise(len(inner))
+    if not inner:
+        return F.lit(0)
+    steps = " ".join(f"WHEN `{value}` < {float(e)!r}D THEN {i}" for i, e in enumerate(inner))
+    return F.expr(f"CASE {steps} ELSE {len(inner)} END")
 
 
 def summarise(df: DataFrame, by: Sequence[str], features: Sequence[str], *, ddof: int = 0) -> DataFrame:
@@ -145,9 +153,10 @@ def reference_stats(
 ) -> tuple[DataFrame, DataFrame]:
     """``(stats, values)`` of a reference population.
 
-    All quantiles and edges come from one ranked pass over the counted values.
+    All quantiles and edges come from one ranked pass over the counted values, which are
+    part of the reference and staged for the passes that follow.
     """
-    values = value_counts(unpivot_features(df, [], features), ["feature"], "value")
+    values = stage(value_counts(unpivot_features(df, [], features), ["feature"], "value"), "reference-values")
     tail = list(params.REFERENCE_PERCENTILES)
     levels = quantile_levels(n_bins)
     q = exact_quantiles(values, ["feature"], "value", [*tail, *levels], counted=True).select(
@@ -223,7 +232,7 @@ def wide_bin_counts(
     binned = df.select("*", *[finite_only(F.col(f).cast("double")).alias(f"_v_{f}") for f in used]).select(
         "*",
         *[
-            F.when(F.col(f"_v_{f}").isNotNull(), bin_of_literal(F.col(f"_v_{f}"), frozen[f]["bin_edges"])).alias(
+            F.when(F.col(f"_v_{f}").isNotNull(), bin_of_literal(f"_v_{f}", frozen[f]["bin_edges"])).alias(
                 f"_b_{f}"
             )
             for f in used
@@ -232,15 +241,15 @@ def wide_bin_counts(
     n_bins = {f: len(frozen[f]["bin_edges"]) - 1 for f in used}
     aggs: list[Column] = list(extra)
     for f in used:
-        aggs += [F.count_if(F.col(f"_b_{f}") == i).alias(f"_c_{f}_{i}") for i in range(n_bins[f])]
+        aggs += [F.expr(f"count_if(`_b_{f}` = {i}) AS `_c_{f}_{i}`") for i in range(n_bins[f])]
         aggs += [F.count(f"_v_{f}").alias(f"_n_{f}"), F.avg(f"_v_{f}").alias(f"_m_{f}")]
     wide = binned.groupBy(*by).agg(*aggs)
     entry = [
         F.struct(
             F.lit(f).alias("feature"),
             F.lit(pos).alias("feature_pos"),
-            F.array(*[F.col(f"_c_{f}_{i}") for i in range(n_bins[f])]).alias("counts"),
-            F.array(*[F.lit(float(x)) for x in frozen[f]["bin_shares"]]).alias("ref_shares"),
+            F.array(*[f"_c_{f}_{i}" for i in range(n_bins[f])]).alias("counts"),
+            F.lit([float(x) for x in frozen[f]["bin_shares"]]).alias("ref_shares"),
             F.col(f"_n_{f}").alias("n_current"),
             F.col(f"_m_{f}").alias("current_mean"),
             F.lit(frozen[f]["n"]).cast("bigint").alias("n_reference"),
@@ -338,12 +347,15 @@ def ks_two_sample(
     each group of *df* is small by construction.
     """
     by = list(by)
-    current = value_counts(unpivot_features(df, by, features), [*by, "feature"], "value")
+    rows = unpivot_features(df, by, features)
+    current = value_counts(rows, [*by, "feature"], "value")
     here = current.groupBy("feature", "value").agg(F.lit(0).cast("bigint").alias("n_ref"))
     there = reference.values.select("feature", "value", F.col("n").alias("n_ref"))
     lookup = here.unionByName(there).groupBy("feature", "value").agg(F.sum("n_ref").alias("n_ref"))
-    ref_cdf = running_sums(lookup, ["feature"], ["value"], ["n_ref"])
-    ranked = running_sums(current, [*by, "feature"], ["value"], ["n"], bounded=bounded)
+    both_sides = rows.select("value").union(there.select("value"))
+    cuts = cut_points(both_sides, ["value"], ["value"], default_parts(df))
+    ref_cdf = running_sums(lookup, ["feature"], ["value"], ["n_ref"], cuts=cuts)
+    ranked = running_sums(current, [*by, "feature"], ["value"], ["n"], bounded=bounded, cuts=cuts)
     both = ranked.join(ref_cdf, ["feature", "value"])
     total = F.col("tot_n_ref").cast("double")
     cur_at, cur_below = (

@@ -62,6 +62,12 @@ def cell_metrics(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Co
     }
 
 
+def score_rows(df: DataFrame, score: str, label: str) -> DataFrame:
+    """The scores of labelled rows, from which running sums take their cut points."""
+    scored = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    return scored.select(F.col(score).cast("double").alias("score"))
+
+
 def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str, *extra: Column) -> DataFrame:
     """``(by..., score, pos, neg)`` over labelled, scored rows."""
     return (
@@ -79,7 +85,14 @@ def ranked_scores(
     df: DataFrame, by: Sequence[str], score: str, label: str, *, bounded: bool = False
 ) -> DataFrame:
     """Score counts with running and total positives and negatives, ascending."""
-    return running_sums(score_counts(df, by, score, label), by, ["score"], ["pos", "neg"], bounded=bounded)
+    return running_sums(
+        score_counts(df, by, score, label),
+        by,
+        ["score"],
+        ["pos", "neg"],
+        bounded=bounded,
+        cut_source=score_rows(df, score, label),
+    )
 
 
 def _auc_sum() -> Column:

@@ -18,11 +18,12 @@ from lineguard.operators.drift import (
     wide_bin_counts,
     with_psi,
 )
-from lineguard.operators.logs import count_windows
-from lineguard.operators.metrics import classification_metrics, metrics_from_ranked, score_counts
-from lineguard.operators.ordered import null_safe_join, running_sums
+from lineguard.operators.logs import count_windows, first_present
+from lineguard.operators.metrics import classification_metrics, metrics_from_ranked, score_counts, score_rows
+from lineguard.operators.ordered import null_safe_join, order_number, running_sums
+from lineguard.session import stage
 
-METRICS = ("psi_max", "psi_mean", "mean_confidence_drop", "accuracy_drop", "review_rate")
+LOG_COLUMNS = ("probability", "predicted_label", "decision", "ground_truth", "model_threshold", "scenario")
 PERFORMANCE = ("accuracy", "precision", "recall", "f1", "roc_auc")
 
 
@@ -36,15 +37,29 @@ def labelled_performance(
 ) -> DataFrame:
     """Metrics of each group with enough labels, at the threshold its first labelled row used.
 
-    The threshold travels with the score counts as a minimum over (ts, id, threshold), so
+    The threshold travels with the score counts as the value at the smallest (ts, id), so
     no row is joined back to its group.
     """
-    stamp = F.when(F.col("model_threshold").isNotNull(), F.struct(*keys, "model_threshold"))
-    scores = score_counts(df, by, "probability", "ground_truth", F.min(stamp).alias("first_threshold"))
+    at = F.when(F.col("model_threshold").isNotNull(), order_number(keys))
+    stamped = df.select(*by, "probability", "ground_truth", "model_threshold", at.alias("_at"))
+    scores = score_counts(
+        stamped,
+        by,
+        "probability",
+        "ground_truth",
+        F.min_by("model_threshold", "_at").alias("threshold"),
+        F.min("_at").alias("threshold_at"),
+    )
     ranked = running_sums(
-        scores, by, ["score"], ["pos", "neg"], bounded=bounded, carry_min=["first_threshold"]
+        scores,
+        by,
+        ["score"],
+        ["pos", "neg"],
+        bounded=bounded,
+        carry_first=("threshold", "threshold_at"),
+        cut_source=score_rows(df, "probability", "ground_truth"),
     )
-    threshold = F.coalesce(F.col("min_first_threshold.model_threshold"), F.lit(0.5))
+    threshold = F.coalesce(F.col("first_threshold"), F.lit(0.5))
     return metrics_from_ranked(ranked, by, threshold).where(F.col("n_samples") >= min_labeled)
 
 
@@ -96,14 +111,12 @@ def window_signals(
     by, features = list(by), list(features or reference.features)
     base = reference.baseline
     p, label = F.col("probability"), F.col("predicted_label")
-    order = F.struct(*keys)
     wide = wide_bin_counts(
         log,
         by,
         reference,
         features,
         F.count(F.lit(1)).alias("n_samples"),
-        F.min_by("scenario", F.when(F.col("scenario").isNotNull(), order)).alias("first_scenario"),
         F.avg(max_confidence(p)).alias("mean_confidence"),
         F.avg(p).alias("mean_probability"),
         F.count_if(label == 0).alias("n_neg"),
@@ -113,6 +126,10 @@ def window_signals(
     )
     perf = labelled_performance(log, by, min_labeled=thresholds["min_labeled"], keys=keys, bounded=bounded)
     joined = null_safe_join(wide, perf.select(*by, *PERFORMANCE), by, "left")
+    if "scenario" in by:
+        joined = joined.withColumn("first_scenario", F.col("scenario"))
+    else:
+        joined = null_safe_join(joined, first_present(log, by, ["scenario"], keys), by, "left")
     joined = joined.withColumn("features", with_psi(F.col("entries"), thresholds["psi_warn"], thresholds["psi_alert"]))
     if with_ks:
         ks = ks_two_sample(log, by, reference, features, bounded=bounded).groupBy(*by).agg(
@@ -209,11 +226,16 @@ def window_report(
     keys: Sequence[str] = ("ts_us", "id"),
     **options,
 ) -> DataFrame:
-    """Signals per count window of the log in (ts, id) order."""
-    windowed = count_windows(log, size, min_samples, keys)
-    return window_signals(
-        windowed, ["window_index", "row_start", "row_end"], reference, keys=keys, bounded=True, **options
-    )
+    """Signals per count window of the log in (ts, id) order.
+
+    The log is ordered once: its needed columns, with their window, are staged, and every
+    aggregate reads that copy.
+    """
+    names = [f for f in (options.get("features") or reference.features) if f in log.columns]
+    needed = dict.fromkeys([*keys, *names, *LOG_COLUMNS])
+    windowed = stage(count_windows(log.select(*needed), size, min_samples, keys), "windowed-log")
+    by = ["window_index", "row_start", "row_end"]
+    return window_signals(windowed, by, reference, keys=keys, bounded=True, **options)
 
 
 def report_summary(report: DataFrame, by: Sequence[str]) -> DataFrame:

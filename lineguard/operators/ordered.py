@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SAMPLES_PER_CUT = 32
 _MAX_PARTS = 256
@@ -30,12 +31,18 @@ def cut_points(
 ) -> list[tuple]:
     """At most ``parts - 1`` order-key tuples that split the rows evenly.
 
-    Takes the rows with the smallest identity hashes (a uniform, reproducible
-    sample of fixed size, merged map-side) and reads evenly spaced keys off it.
-    A table smaller than the sample gets no cuts. Keys must be numbers or
-    strings without nulls.
+    One numeric key is read off a quantile sketch, which merges map-side. Other keys come from
+    the rows with the smallest identity hashes: a uniform, reproducible sample of fixed
+    size. Either way one pass, nothing shuffled but the sketch or sample. A table
+    smaller than the sample gets no cuts. Keys must be numbers or strings, and not null.
     """
     size = parts * _SAMPLES_PER_CUT
+    numeric = isinstance(df.schema[order[0]].dataType, T.NumericType)
+    if len(order) == 1 and numeric:
+        levels = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        sketch = F.percentile_approx(order[0], levels, parts * _SAMPLES_PER_CUT)
+        n, cuts = df.agg(F.count(F.lit(1)), sketch).first()
+        return [(c,) for c in sorted(set(cuts))] if n >= size else []
     hashed = df.select(*order, F.xxhash64(*identity).alias("_hash"))
     sample = hashed.orderBy("_hash", *order).limit(size).collect()
     if len(sample) < size:
@@ -90,18 +97,25 @@ def running_sums(
     identity: Sequence[str] | None = None,
     bounded: bool = False,
     parts: int | None = None,
-    carry_min: Sequence[str] = (),
+    carry_first: tuple[str, str] | None = None,
+    cut_source: DataFrame | None = None,
+    cuts: list[tuple] | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum) and ``tot_<c>`` (group total) per sum column.
 
     ``order`` must be unique within a group. ``bounded=True`` states that every
     group is small by construction (a fixed-size window, a fixed grid) and uses
-    a plain window. ``carry_min`` adds ``min_<c>``, the group minimum of a column.
+    a plain window. ``carry_first=(value, at)`` adds ``first_<value>``, the value at the
+    group's smallest ``at``.
+    ``cut_source`` is a table with the order columns to read cut points from, say the rows *df*
+    was counted from, when that is cheaper than running *df* itself; ``cuts`` passes known ones.
     """
     by, order, sums = list(by), list(order), list(sums)
-    cuts: list[tuple] = []
-    if not bounded:
-        cuts = cut_points(df, order, list(identity or [*by, *order]), parts or default_parts(df))
+    if bounded:
+        cuts = []
+    elif cuts is None:
+        source = df if cut_source is None else cut_source
+        cuts = cut_points(source, order, list(identity or [*by, *order]), parts or default_parts(df))
     if not cuts:
         whole = Window.partitionBy(*(by or [F.lit(0)]))
         upto = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -109,7 +123,7 @@ def running_sums(
             "*",
             *[F.sum(c).over(upto).alias(f"cum_{c}") for c in sums],
             *[F.sum(c).over(whole).alias(f"tot_{c}") for c in sums],
-            *[F.min(c).over(whole).alias(f"min_{c}") for c in carry_min],
+            *([F.min_by(*carry_first).over(whole).alias(f"first_{carry_first[0]}")] if carry_first else []),
         )
 
     ranged = df.withColumn("_range", range_number(order, cuts))
@@ -124,24 +138,36 @@ def running_sums(
     before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*by, "_range").agg(
         *[F.sum(c).alias(f"_sum_{c}") for c in sums],
-        *[F.min(c).alias(f"_min_{c}") for c in carry_min],
+        *([F.min_by(*carry_first).alias("_first"), F.min(carry_first[1]).alias("_at")] if carry_first else []),
     )
     offsets = totals.select(
         *by,
         "_range",
         *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in sums],
         *[F.sum(f"_sum_{c}").over(group).alias(f"tot_{c}") for c in sums],
-        *[F.min(f"_min_{c}").over(group).alias(f"min_{c}") for c in carry_min],
+        *([F.min_by("_first", "_at").over(group).alias(f"first_{carry_first[0]}")] if carry_first else []),
     )
     joined = null_safe_join(rows, offsets, [*by, "_range"])
     return joined.select(
         *df.columns,
         *[(F.col(f"_before_{c}") + F.col(f"_local_{c}")).alias(f"cum_{c}") for c in sums],
         *[f"tot_{c}" for c in sums],
-        *[f"min_{c}" for c in carry_min],
+        *([f"first_{carry_first[0]}"] if carry_first else []),
     )
 
 
+def order_number(keys: Sequence[str]) -> Column:
+    """One number that sorts like one or two bigint columns.
+
+    ``min_by`` over a struct or string forces a sort before aggregating; over a number it does
+    not. Two keys share a decimal, the first scaled past the range of the second.
+    """
+    if len(keys) == 1:
+        return F.col(keys[0]).cast("bigint")
+    major, minor = (f"CAST(CAST(`{k}` AS BIGINT) AS DECIMAL(19,0))" for k in keys)
+    return F.expr(f"CAST({major} * 20000000000000000000BD + {minor} AS DECIMAL(38,0))")
+
+
 def row_index(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "row_index") -> DataFrame:
     """Zero-based position within the group under a unique order, at any group size."""
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
@@ -177,19 +203,20 @@ def exact_quantiles(
         return df.groupBy(*by).agg(
             F.count(value).cast("bigint").alias("n"), F.percentile(value, levels).alias("q")
         )
-    counts = df if counted else value_counts(df.where(F.col(value).isNotNull()), by, value)
-    ranked = running_sums(counts.select(*by, value, "n"), by, [value], ["n"], bounded=bounded)
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n")
+    rows = df if counted else df.where(F.col(value).isNotNull())
+    counts = rows if counted else value_counts(rows, by, value)
+    ranked = running_sums(
+        counts.select(*by, value, "n"), by, [value], ["n"], bounded=bounded, cut_source=rows.select(value)
+    )
     picks = []
     for i, p in enumerate(probs):
-        at = F.lit(p) * (F.col("tot_n") - 1).cast("double")
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = (first <= rank) & (rank < last)
-            picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}_{i}"))
+        at = f"({p!r}D * (tot_n - 1))"
+        for side, rank in (("lo", f"floor({at})"), ("hi", f"ceil({at})")):
+            hit = f"cum_n - n <= {rank} AND {rank} < cum_n"
+            picks.append(F.expr(f"max(CASE WHEN {hit} THEN `{value}` END) AS _{side}_{i}"))
     agg = ranked.groupBy(*by).agg(F.max("tot_n").cast("bigint").alias("n"), *picks)
     quantiles = []
     for i, p in enumerate(probs):
-        at = F.lit(p) * (F.col("n") - 1).cast("double")
-        lo, hi, t = F.col(f"_lo_{i}"), F.col(f"_hi_{i}"), at - F.floor(at)
-        quantiles.append(F.when(t == 0, lo).otherwise(lo + (hi - lo) * t).cast("double"))
-    return agg.where(F.col("n").isNotNull()).select(*by, "n", F.array(*quantiles).alias("q"))
+        share = f"({p!r}D * (n - 1) - floor({p!r}D * (n - 1)))"
+        quantiles.append(f"CAST(IF({share} = 0, _lo_{i}, _lo_{i} + (_hi_{i} - _lo_{i}) * {share}) AS DOUBLE)")
+    return agg.where(F.col("n").isNotNull()).select(*by, "n", F.expr(f"array({', '.join(quantiles)}) AS q"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -38,3 +38,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = os.path.join(tempfile.gettempdir(), "lineguard-work")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write *df* once to the shared folder and read it from there.
+
+    For a table that several aggregates of one job start from: each would otherwise repeat
+    its shuffles. The copy outlives lost executors.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -80,7 +80,7 @@ def main() -> None:
         try:
             outcome, seconds = compare(spark, con, name, query, catalog.oracles().get(name), sf)
         except Exception as exc:  # report and go on with the next query
-            outcome, seconds = f"ERROR {type(exc).__name__}: {str(exc)[:900]}", 0.0
+            outcome, seconds = f"ERROR {type(exc).__name__}: {str(exc).splitlines()[0][:300]}", 0.0
         bad += not outcome.startswith(("ok", "rows="))
         print(f"{name:36s} {seconds:6.2f}s  {outcome}", flush=True)
     print("failures:", bad)
