@@ -11,8 +11,8 @@ INF = float("inf")
 
 
 def finite(c: Column) -> Column:
-    """True for a present, non-NaN, non-infinite value (never null)."""
-    return F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(INF)), F.lit(False))
+    """True for a present, non-NaN, non-infinite value (never null); NaN sorts above infinity."""
+    return F.coalesce(F.abs(c) < F.lit(INF), F.lit(False))
 
 
 def finite_only(c: Column) -> Column:

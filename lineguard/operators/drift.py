@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineguard import params
-from lineguard.functions.columns import finite, finite_only, severity
+from lineguard.functions.columns import finite_only
 from lineguard.functions.pvalues import chi2_pvalue, ks_pvalue
 from lineguard.operators.ordered import (
     cut_points,
@@ -63,13 +63,13 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.size(F.filter(inner, lambda e: e <= value))
 
 
-def bin_of_literal(value: str, edges: Sequence[float]) -> Column:
+def bin_sql(value: str, edges: Sequence[float]) -> str:
     """The same rule with literal edges, as a CASE that stays in generated code."""
     inner = list(edges[1:-1])
     if not inner:
-        return F.lit(0)
+        return "0"
     steps = " ".join(f"WHEN `{value}` < {float(e)!r}D THEN {i}" for i, e in enumerate(inner))
-    return F.expr(f"CASE {steps} ELSE {len(inner)} END")
+    return f"CASE {steps} ELSE {len(inner)} END"
 
 
 def summarise(df: DataFrame, by: Sequence[str], features: Sequence[str], *, ddof: int = 0) -> DataFrame:
@@ -229,58 +229,57 @@ def wide_bin_counts(
     """
     frozen = reference.frozen()
     used = [f for f in features if f in frozen and f in df.columns]
-    binned = df.select("*", *[finite_only(F.col(f).cast("double")).alias(f"_v_{f}") for f in used]).select(
-        "*",
-        *[
-            F.when(F.col(f"_v_{f}").isNotNull(), bin_of_literal(f"_v_{f}", frozen[f]["bin_edges"])).alias(
-                f"_b_{f}"
-            )
-            for f in used
-        ],
-    )
     n_bins = {f: len(frozen[f]["bin_edges"]) - 1 for f in used}
+    as_double = {f: f"CAST(`{f}` AS DOUBLE)" for f in used}
+    # NaN sorts above infinity, so one comparison keeps exactly the finite values.
+    finite_values = [f"IF(abs({v}) < double('Infinity'), {v}, NULL) AS `_v_{f}`" for f, v in as_double.items()]
+    bins = [
+        f"CASE WHEN `_v_{f}` IS NOT NULL THEN {bin_sql(f'_v_{f}', frozen[f]['bin_edges'])} END AS `_b_{f}`" for f in used
+    ]
+    binned = df.selectExpr("*", *finite_values).selectExpr("*", *bins)
     aggs: list[Column] = list(extra)
     for f in used:
         aggs += [F.expr(f"count_if(`_b_{f}` = {i}) AS `_c_{f}_{i}`") for i in range(n_bins[f])]
-        aggs += [F.count(f"_v_{f}").alias(f"_n_{f}"), F.avg(f"_v_{f}").alias(f"_m_{f}")]
+        aggs += [F.expr(f"count(`_v_{f}`) AS `_n_{f}`"), F.expr(f"avg(`_v_{f}`) AS `_m_{f}`")]
     wide = binned.groupBy(*by).agg(*aggs)
-    entry = [
-        F.struct(
-            F.lit(f).alias("feature"),
-            F.lit(pos).alias("feature_pos"),
-            F.array(*[f"_c_{f}_{i}" for i in range(n_bins[f])]).alias("counts"),
-            F.lit([float(x) for x in frozen[f]["bin_shares"]]).alias("ref_shares"),
-            F.col(f"_n_{f}").alias("n_current"),
-            F.col(f"_m_{f}").alias("current_mean"),
-            F.lit(frozen[f]["n"]).cast("bigint").alias("n_reference"),
-            F.lit(frozen[f]["mean"]).cast("double").alias("reference_mean"),
+
+    def entry(pos: int, f: str) -> str:
+        counts = ", ".join(f"`_c_{f}_{i}`" for i in range(n_bins[f]))
+        shares = ", ".join(f"{float(x)!r}D" for x in frozen[f]["bin_shares"])
+        return (
+            f"named_struct('feature', '{f}', 'feature_pos', {pos}, 'counts', array({counts}), "
+            f"'ref_shares', array({shares}), 'n_current', `_n_{f}`, 'current_mean', `_m_{f}`, "
+            f"'n_reference', {int(frozen[f]['n'])}L, 'reference_mean', {float(frozen[f]['mean'])!r}D)"
         )
-        for pos, f in enumerate(used)
-    ]
+
     internal = {f"_{k}_{f}" for f in used for k in ("n", "m")}
     internal |= {f"_c_{f}_{i}" for f in used for i in range(n_bins[f])}
     kept = [c for c in wide.columns if c not in internal]
-    return wide.select(*kept, F.filter(F.array(*entry), lambda e: e["n_current"] > 0).alias("entries"))
-
-
-def with_psi(entries: Column, warn: float, alert: float) -> Column:
-    """Entries with ``psi``, ``mean_shift`` and ``severity`` in place of the bins."""
-
-    def scored(e: Column) -> Column:
-        value = psi_of(e["counts"], e["n_current"], e["ref_shares"])
-        return F.struct(
-            e["feature"].alias("feature"),
-            e["feature_pos"].alias("feature_pos"),
-            value.alias("psi"),
-            e["reference_mean"].alias("reference_mean"),
-            e["current_mean"].alias("current_mean"),
-            (e["current_mean"] - e["reference_mean"]).alias("mean_shift"),
-            severity(value, warn, alert).alias("severity"),
-            e["n_reference"].alias("n_reference"),
-            e["n_current"].alias("n_current"),
-        )
+    entries = ", ".join(entry(pos, f) for pos, f in enumerate(used))
+    return wide.select(*kept, F.expr(f"filter(array({entries}), e -> e.n_current > 0) AS entries"))
 
-    return F.transform(entries, scored)
+
+def with_psi(entries: str, warn: float, alert: float) -> Column:
+    """Entries with ``psi``, ``mean_shift`` and ``severity`` in place of the bins.
+
+    PSI is the sum of (c - r) ln(c / r), both shares floored and not renormalised.
+    """
+    floor = f"{params.PSI_FLOOR!r}D"
+    cur = f"transform(e.counts, n -> greatest(n / CAST(e.n_current AS DOUBLE), {floor}))"
+    ref = f"transform(e.ref_shares, r -> greatest(r, {floor}))"
+    terms = f"zip_with({cur}, {ref}, (c, r) -> (c - r) * ln(c / r))"
+    scored = f"""transform({entries}, e -> named_struct('e', e, 'psi', aggregate({terms}, 0.0D, (a, x) -> a + x)))"""
+    band = (
+        f"CASE WHEN NOT coalesce(abs(s.psi) < double('Infinity'), false) THEN 'unknown' "
+        f"WHEN s.psi >= {float(alert)!r}D THEN 'significant' WHEN s.psi >= {float(warn)!r}D THEN 'moderate' ELSE 'none' END"
+    )
+    return F.expr(
+        f"""transform({scored}, s -> named_struct(
+          'feature', s.e.feature, 'feature_pos', s.e.feature_pos, 'psi', s.psi,
+          'reference_mean', s.e.reference_mean, 'current_mean', s.e.current_mean,
+          'mean_shift', s.e.current_mean - s.e.reference_mean, 'severity', {band},
+          'n_reference', s.e.n_reference, 'n_current', s.e.n_current))"""
+    )
 
 
 def bin_counts(df: DataFrame, by: Sequence[str], reference: Reference, features: Sequence[str]) -> DataFrame:
@@ -304,15 +303,6 @@ def bin_shares(df: DataFrame, by: Sequence[str], reference: Reference, features:
     )
 
 
-def psi_of(counts: Column, total: Column, ref_shares: Column) -> Column:
-    """Sum of (c - r) ln(c / r); both shares floored, not renormalised."""
-    floor = F.lit(params.PSI_FLOOR)
-    cur = F.transform(counts, lambda n: F.greatest(n / total.cast("double"), floor))
-    ref = F.transform(ref_shares, lambda r: F.greatest(r, floor))
-    terms = F.zip_with(cur, ref, lambda c, r: (c - r) * F.ln(c / r))
-    return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
-
-
 def psi(
     df: DataFrame,
     by: Sequence[str],
@@ -324,7 +314,7 @@ def psi(
 ) -> DataFrame:
     """PSI, means and severity per (group, feature)."""
     wide = wide_bin_counts(df, by, reference, features)
-    scored = F.explode(with_psi(F.col("entries"), warn, alert)).alias("_e")
+    scored = F.explode(with_psi("entries", warn, alert)).alias("_e")
     return wide.select(*by, scored).select(*by, "_e.*")
 
 
@@ -482,41 +472,34 @@ def feature_drift(
     return base.withColumns({"ks_statistic": null, "ks_pvalue": null})
 
 
-def rollup_columns(entries: Column) -> dict[str, Column]:
-    """Maxima, counts and lists over an array of per-feature drift entries."""
-    scored = F.filter(entries, lambda e: finite(e["psi"]))
-    values = F.transform(scored, lambda e: e["psi"])
-    moved = F.filter(entries, lambda e: e["severity"].isin("moderate", "significant"))
-    sig = F.filter(entries, lambda e: e["severity"] == "significant")
+def rollup_columns(entries: str) -> list[Column]:
+    """Maxima, counts and lists over an array column of per-feature drift entries."""
+    scored = f"filter({entries}, e -> coalesce(abs(e.psi) < double('Infinity'), false))"
+    values = f"transform({scored}, e -> e.psi)"
+    moved = f"filter({entries}, e -> e.severity IN ('moderate', 'significant'))"
+    sig = f"filter({entries}, e -> e.severity = 'significant')"
     # Rounded, so that values differing only in summation order tie and feature order decides.
-    ranked = F.transform(
-        scored,
-        lambda e: F.struct(
-            F.round(e["psi"], 9).alias("psi"), (-e["feature_pos"]).alias("pos"), e["feature"].alias("feature")
-        ),
-    )
-
-    def names(a: Column) -> Column:
-        return F.array_sort(F.transform(a, lambda e: e["feature"]))
-
-    mean = F.aggregate(values, F.lit(0.0), lambda x, y: x + y) / F.nullif(F.size(values), F.lit(0))
-    return {
-        "psi_max": F.coalesce(F.array_max(values), F.lit(0.0)),
-        "psi_mean": F.coalesce(mean, F.lit(0.0)),
-        "n_features": F.size(entries),
-        "n_drifted": F.size(moved),
-        "n_significant": F.size(sig),
-        "drifted_features": names(moved),
-        "significant_features": names(sig),
-        "worst_feature": F.array_max(ranked)["feature"],
-    }
+    ranked = f"transform({scored}, e -> named_struct('psi', round(e.psi, 9), 'pos', -e.feature_pos, 'feature', e.feature))"
+    return [
+        F.expr(text)
+        for text in (
+            f"coalesce(array_max({values}), 0.0D) AS psi_max",
+            f"coalesce(aggregate({values}, 0.0D, (a, x) -> a + x) / nullif(size({values}), 0), 0.0D) AS psi_mean",
+            f"size({entries}) AS n_features",
+            f"size({moved}) AS n_drifted",
+            f"size({sig}) AS n_significant",
+            f"array_sort(transform({moved}, e -> e.feature)) AS drifted_features",
+            f"array_sort(transform({sig}, e -> e.feature)) AS significant_features",
+            f"array_max({ranked}).feature AS worst_feature",
+        )
+    ]
 
 
 def drift_rollup(drift: DataFrame, by: Sequence[str]) -> DataFrame:
     """Group-level rollup of per-feature drift rows (one entry per schema feature)."""
     entry = F.struct("feature", "feature_pos", "psi", "severity")
     packed = drift.groupBy(*by).agg(F.collect_list(entry).alias("_entries"))
-    return packed.select(*by, *[c.alias(n) for n, c in rollup_columns(F.col("_entries")).items()])
+    return packed.select(*by, *rollup_columns("_entries"))
 
 
 def psi_matrix(drift: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:

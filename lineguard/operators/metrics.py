@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineguard import params
-from lineguard.functions.columns import fixed_text, ratio
+from lineguard.functions.columns import fixed_text
 from lineguard.operators.ordered import running_sums
 
 CELL_METRICS = (
@@ -43,23 +43,28 @@ def confusion_counts(
     )
 
 
-def cell_metrics(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
-    """Every metric that follows from the four cells; a zero denominator gives 0.0."""
-    tp, fp, fn, tn = (c.cast("double") for c in (tp, fp, fn, tn))
-    n = tp + fp + fn + tn
-    precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
-    specificity = ratio(tn, tn + fp)
-    return {
-        "accuracy": ratio(tp + tn, n),
-        "balanced_accuracy": (recall + specificity) / 2.0,
+def _over(num: str, den: str) -> str:
+    """SQL for a quotient that is 0.0 where the denominator is zero."""
+    return f"IF({den} <> 0, ({num}) / CAST({den} AS DOUBLE), 0.0D)"
+
+
+def cell_metrics() -> dict[str, Column]:
+    """Every metric that follows from the columns tp, fp, fn, tn; a zero denominator gives 0.0."""
+    precision, recall, specificity = _over("tp", "(tp + fp)"), _over("tp", "(tp + fn)"), _over("tn", "(tn + fp)")
+    d = {c: f"CAST({c} AS DOUBLE)" for c in ("tp", "fp", "fn", "tn")}
+    spread = f"sqrt(({d['tp']} + fp) * ({d['tp']} + fn) * ({d['tn']} + fp) * ({d['tn']} + fn))"
+    sql = {
+        "accuracy": _over("tp + tn", "(tp + fp + fn + tn)"),
+        "balanced_accuracy": f"({recall} + {specificity}) / 2.0D",
         "precision": precision,
         "recall": recall,
         "specificity": specificity,
-        "f1": ratio(2 * precision * recall, precision + recall),
-        "mcc": ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))),
-        "false_negative_rate": ratio(fn, tp + fn),
-        "false_positive_rate": ratio(fp, tn + fp),
+        "f1": _over(f"2 * {precision} * {recall}", f"({precision} + {recall})"),
+        "mcc": _over(f"{d['tp']} * tn - {d['fp']} * fn", spread),
+        "false_negative_rate": _over("fn", "(tp + fn)"),
+        "false_positive_rate": _over("fp", "(tn + fp)"),
     }
+    return {m: F.expr(f"{text} AS {m}") for m, text in sql.items()}
 
 
 def score_rows(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -95,25 +100,16 @@ def ranked_scores(
     )
 
 
-def _auc_sum() -> Column:
-    """Pairs won by a positive plus half the ties: the Mann-Whitney U statistic."""
-    below = (F.col("cum_neg") - F.col("neg")).cast("double")
-    return F.sum(F.col("pos") * (below + F.col("neg") / 2.0))
-
-
-def _ap_sum() -> Column:
-    """Precision at each score weighted by the positives found there."""
-    tp = F.col("tot_pos") - F.col("cum_pos") + F.col("pos")
-    fp = F.col("tot_neg") - F.col("cum_neg") + F.col("neg")
-    return F.sum(F.col("pos") * (tp / (tp + fp).cast("double")))
-
-
 def _rank_metrics() -> list[Column]:
-    pos, neg = F.max("tot_pos"), F.max("tot_neg")
-    both = (pos > 0) & (neg > 0)
+    """AUC: pairs won by a positive plus half the ties. AP: precision at each score, weighted by
+    the positives found there."""
+    auc = "sum(pos * (CAST(cum_neg - neg AS DOUBLE) + neg / 2.0D)) / (CAST(max(tot_pos) AS DOUBLE) * max(tot_neg))"
+    tp, fp = "(tot_pos - cum_pos + pos)", "(tot_neg - cum_neg + neg)"
+    ap = f"sum(pos * ({tp} / CAST({tp} + {fp} AS DOUBLE))) / CAST(max(tot_pos) AS DOUBLE)"
+    both = "max(tot_pos) > 0 AND max(tot_neg) > 0"
     return [
-        F.when(both, _auc_sum() / (pos.cast("double") * neg)).alias("roc_auc"),
-        F.when(both, _ap_sum() / pos.cast("double")).alias("average_precision"),
+        F.expr(f"CASE WHEN {both} THEN {auc} END AS roc_auc"),
+        F.expr(f"CASE WHEN {both} THEN {ap} END AS average_precision"),
     ]
 
 
@@ -129,33 +125,32 @@ def metrics_from_ranked(ranked: DataFrame, by: Sequence[str], threshold: Column)
 
     *threshold* may be a literal or any column that is constant per group.
     """
-    hit, s = F.col("score") >= threshold, F.col("score")
-    agg = ranked.groupBy(*by).agg(
-        F.first(threshold).alias("threshold"),
-        F.coalesce(F.sum(F.when(hit, F.col("pos"))), F.lit(0)).alias("tp"),
-        F.coalesce(F.sum(F.when(hit, F.col("neg"))), F.lit(0)).alias("fp"),
-        F.coalesce(F.sum(F.when(~hit, F.col("pos"))), F.lit(0)).alias("fn"),
-        F.coalesce(F.sum(F.when(~hit, F.col("neg"))), F.lit(0)).alias("tn"),
-        F.sum(F.col("pos") * (s - 1.0) * (s - 1.0) + F.col("neg") * s * s).alias("_brier"),
+    cut = ranked.withColumn("_threshold", threshold)
+    agg = cut.groupBy(*by).agg(
+        F.first("_threshold").alias("threshold"),
+        F.expr("coalesce(sum(pos) FILTER (WHERE score >= _threshold), 0) AS tp"),
+        F.expr("coalesce(sum(neg) FILTER (WHERE score >= _threshold), 0) AS fp"),
+        F.expr("coalesce(sum(pos) FILTER (WHERE NOT score >= _threshold), 0) AS fn"),
+        F.expr("coalesce(sum(neg) FILTER (WHERE NOT score >= _threshold), 0) AS tn"),
+        F.expr("sum(pos * (score - 1.0D) * (score - 1.0D) + neg * score * score) AS _brier"),
         *_rank_metrics(),
     )
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    n = tp + fp + fn + tn
-    cells = cell_metrics(tp, fp, fn, tn)
+    cells = cell_metrics()
+    n = "(tp + fp + fn + tn)"
     return agg.select(
         *by,
         "threshold",
-        *[cells[m].alias(m) for m in CELL_METRICS],
+        *[cells[m] for m in CELL_METRICS],
         "roc_auc",
         "average_precision",
-        ratio(F.col("_brier"), n).alias("brier"),
+        F.expr(f"{_over('_brier', n)} AS brier"),
         "tp",
         "fp",
         "fn",
         "tn",
-        n.alias("n_samples"),
-        ratio((tp + fn).cast("double"), n).alias("positive_rate"),
-        ratio((tp + fp).cast("double"), n).alias("predicted_positive_rate"),
+        F.expr(f"{n} AS n_samples"),
+        F.expr(f"{_over('tp + fn', n)} AS positive_rate"),
+        F.expr(f"{_over('tp + fp', n)} AS predicted_positive_rate"),
     )
 
 
@@ -270,8 +265,8 @@ def threshold_grid(
         (F.col("tot_pos") - F.col("tp")).alias("fn"),
         (F.col("tot_neg") - F.col("fp")).alias("tn"),
     )
-    metrics = cell_metrics(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))
-    return counts.select("*", *[metrics[m].alias(m) for m in CELL_METRICS])
+    metrics = cell_metrics()
+    return counts.select("*", *[metrics[m] for m in CELL_METRICS])
 
 
 def choose_threshold(
@@ -295,7 +290,7 @@ def choose_threshold(
     values = ["tp", "fp", "fn", "tn", *CELL_METRICS]
     if strategy == "fixed":
         cells = confusion_counts(df.where(F.col(label).isNotNull()), by, score, label, fixed_threshold)
-        m = cell_metrics(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))
+        m = cell_metrics()
         return cells.select(
             *by,
             F.lit(float(fixed_threshold)).alias("threshold"),
@@ -306,7 +301,7 @@ def choose_threshold(
             "fp",
             "fn",
             "tn",
-            *[m[k].alias(k) for k in CELL_METRICS],
+            *[m[k] for k in CELL_METRICS],
         )
     grid = threshold_grid(df, by, score, label, n_grid)
     point = F.struct("threshold", *values)

@@ -130,7 +130,7 @@ def window_signals(
         joined = joined.withColumn("first_scenario", F.col("scenario"))
     else:
         joined = null_safe_join(joined, first_present(log, by, ["scenario"], keys), by, "left")
-    joined = joined.withColumn("features", with_psi(F.col("entries"), thresholds["psi_warn"], thresholds["psi_alert"]))
+    joined = joined.withColumn("features", with_psi("entries", thresholds["psi_warn"], thresholds["psi_alert"]))
     if with_ks:
         ks = ks_two_sample(log, by, reference, features, bounded=bounded).groupBy(*by).agg(
             F.map_from_entries(
@@ -185,12 +185,11 @@ def window_signals(
         one,
         {c: mix.get(c, 0) for c in {*classes, *mix}},
     )
-    rolled = rollup_columns(F.col("features"))
     signals = joined.select(
         *by,
         "n_samples",
         "first_scenario",
-        *[c.alias(n) for n, c in rolled.items()],
+        *rollup_columns("features"),
         "features",
         "mean_confidence",
         ref_conf.alias("reference_confidence"),

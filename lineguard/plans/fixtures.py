@@ -43,38 +43,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_rows(events: DataFrame) -> DataFrame:
     """The prediction log on a batch or streaming ``events`` table."""
-    late = F.col("ts") >= F.lit("2024-01-25").cast("timestamp_ntz")
-    shift = F.when(F.col("event_type") == "error", 2.0).otherwise(1.0) * F.when(late, 3.0).otherwise(1.0)
-    k = F.get_json_object("props", "$.k").cast("int")
-    truth = F.when(F.col("value") + (k - 50) >= 50, 1).otherwise(0)
-    base = events.select(
-        F.col("event_id").alias("id"),
-        F.col("event_id").alias("request_id"),
-        F.col("ts").alias("ts_ntz"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("event_type").alias("scenario"),
-        (F.col("value") * shift).alias("v"),
-        k.alias("k"),
-        F.when(F.col("event_id") % 3 != 0, truth).alias("ground_truth"),
+    low, high = REVIEW_BAND
+    base = events.selectExpr(
+        "event_id AS id",
+        "event_id AS request_id",
+        "ts AS ts_ntz",
+        "unix_micros(CAST(ts AS TIMESTAMP)) AS ts_us",
+        "CAST(ts AS TIMESTAMP) AS ts",
+        "event_type AS scenario",
+        "value",
+        """value * (IF(event_type = 'error', 2.0D, 1.0D)
+            * IF(ts >= TIMESTAMP_NTZ '2024-01-25 00:00:00', 3.0D, 1.0D)) AS v""",
+        "CAST(get_json_object(props, '$.k') AS INT) AS k",
         "user_id",
-    ).withColumn("probability", F.col("v") / (F.col("v") + F.lit(50.0)))
+    ).selectExpr(
+        "*",
+        "v / (v + 50.0D) AS probability",
+        "CASE WHEN id % 3 <> 0 THEN IF(value + (k - 50) >= 50, 1, 0) END AS ground_truth",
+    )
     p, t = F.col("probability"), F.lit(THRESHOLD)
     label = predicted_label(p, t)
-    return base.select(
+    judged = base.select(
         "*",
         t.alias("model_threshold"),
         label.alias("predicted_label"),
         predicted_class(label, params.CLASSES).alias("predicted_class"),
-        route_decision(p, t, *REVIEW_BAND).alias("decision"),
-        F.col("v").alias("f1"),
-        p.alias("f2"),
-        F.col("k").cast("double").alias("f3"),
-        F.hour("ts_ntz").cast("double").alias("f4"),
-        (F.col("user_id") % 97).cast("double").alias("f5"),
-        F.col("v").alias("latency_ms"),
-        F.when(F.col("scenario") == "error", 400).otherwise(200).alias("status"),
+        route_decision(p, t, low, high).alias("decision"),
     )
+    return judged.selectExpr(
+        "*",
+        "v AS f1",
+        "probability AS f2",
+        "CAST(k AS DOUBLE) AS f3",
+        "CAST(hour(ts_ntz) AS DOUBLE) AS f4",
+        "CAST(user_id % 97 AS DOUBLE) AS f5",
+        "v AS latency_ms",
+        "IF(scenario = 'error', 400, 200) AS status",
+    ).drop("value")
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,10 +81,10 @@ def window_signals(
         F.count_if((y == 1) & ~hit).alias("fn"),
         F.count_if((y == 0) & ~hit).alias("tn"),
     )
-    scored = wide.withColumn("features", with_psi(F.col("entries"), thresholds["psi_warn"], thresholds["psi_alert"]))
-    rolled = rollup_columns(F.col("features"))
+    scored = wide.withColumn("features", with_psi("entries", thresholds["psi_warn"], thresholds["psi_alert"]))
+    scored = scored.select("*", *rollup_columns("features"))
     labeled = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
-    accuracy = cell_metrics(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))["accuracy"]
+    accuracy = cell_metrics()["accuracy"]
     measured = F.when(labeled >= thresholds["min_labeled"], accuracy)
     conf = ratio(F.col("_conf"), F.col("n_samples"))
     ref_acc = F.lit(reference.baseline.get("reference_accuracy")).cast("double")
@@ -94,7 +94,10 @@ def window_signals(
         F.col("window.end").alias("window_end"),
         *by,
         "n_samples",
-        *[rolled[c].alias(c) for c in ("psi_max", "psi_mean", "n_drifted", "worst_feature")],
+        "psi_max",
+        "psi_mean",
+        "n_drifted",
+        "worst_feature",
         conf.alias("mean_confidence"),
         (ref_conf - conf).alias("mean_confidence_drop"),
         ratio(F.col("_review").cast("double"), F.col("n_samples")).alias("review_rate"),
