@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -20,14 +21,14 @@ def grid_key(text: str, cells: dict[str, int]) -> str:
     Every token falls into one of 8 x 9 cells by hash; a bit says whether a cell holds more
     tokens than its left neighbour. Small edits leave most comparisons as they were.
     """
-    counts = np.zeros(GRID_ROWS * GRID_COLS, dtype=np.int64)
-    for token in _SPLIT.split(text.lower()):
-        if token:
-            at = cells.get(token)
-            if at is None:
-                at = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % counts.size
-                cells[token] = at
-            counts[at] += 1
+    tokens = Counter(_SPLIT.split(text.lower()))
+    del tokens[""]
+    for token in tokens:
+        if token not in cells:
+            cells[token] = int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % (GRID_ROWS * GRID_COLS)
+    places = np.fromiter((cells[t] for t in tokens), dtype=np.int64, count=len(tokens))
+    times = np.fromiter(tokens.values(), dtype=np.int64, count=len(tokens))
+    counts = np.bincount(places, weights=times, minlength=GRID_ROWS * GRID_COLS)
     grid = counts.reshape(GRID_ROWS, GRID_COLS)
     return np.packbits((grid[:, 1:] > grid[:, :-1]).ravel()).tobytes().hex()
 

@@ -18,7 +18,11 @@ from lineguard import params
 from lineguard.functions.columns import hash_order
 from lineguard.operators.duplicates import SCAN_ORDER, drop_exact_duplicates, group_key
 from lineguard.operators.ordered import running_sums
+from lineguard.session import stage
 
+MANIFEST_COLUMNS = (
+    "relpath", "class_name", "label", "split", "group", "sha256", "dhash", "width", "height", "file_bytes"
+)
 #: A stratum can hold at most this many large groups.
 LARGE_GROUPS = 10_000
 
@@ -153,14 +157,14 @@ def build_manifest(
 ) -> DataFrame:
     """The manifest of a validated scan."""
     targets = fold_targets(val_size, test_size)
-    rows = with_groups(scan, by_hash=group_by_hash)
+    kept = [c for c in MANIFEST_COLUMNS if c in scan.columns]
+    # Rows and groups feed several passes each, so both are staged.
+    rows = stage(with_groups(scan.select(*kept, "is_valid"), by_hash=group_by_hash).drop("is_valid"), "split-rows")
     sized = majority_label(rows)
     stratum = F.col("majority").cast("int") if stratify else F.lit(0)
-    groups = sized.select(stratum.alias("stratum"), "group", "size")
+    groups = stage(sized.select(stratum.alias("stratum"), "group", "size"), "split-groups")
     folds = assign_folds(groups, targets, seed=seed, large_groups=large_groups)
-    return join_folds(rows, folds).select(
-        "relpath", "class_name", "label", "split", "group", "sha256", "dhash", "width", "height", "file_bytes"
-    )
+    return join_folds(rows, folds).select(*MANIFEST_COLUMNS)
 
 
 # -- manifest tables -------------------------------------------------------------

@@ -49,3 +49,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_small(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
+    """Spread a small input over all cores before costly per-row work.
+
+    A small file is often a single row group, hence a single task. The size is read from the
+    plan's statistics; a larger input already has enough splits and is left where it is.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > max_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
