@@ -24,17 +24,35 @@ def suffix_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
+def zero_length_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path)`` of the empty files below a folder, which Spark's file sources leave out.
+
+    A walk of the file metadata; only empty files are kept. For a very large store pass
+    an inventory table to ``scan_images`` instead.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(hadoop, True)
+    empty = []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen() == 0:
+            empty.append((status.getPath().toString(),))
+    return spark.createDataFrame(empty, "path string")
+
+
 def scan_images(
     spark: SparkSession,
     path: str,
     *,
     classes: Sequence[str] = params.CLASSES,
     rules: dict = params.FILE_RULES,
+    empty_files: DataFrame | None = None,
 ) -> DataFrame:
     """The scan table of a corpus with one folder per class.
 
     File bytes are hashed and images profiled where they are read; only the results
-    are joined, on the unique path.
+    are joined, on the unique path. ``empty_files`` is a table of zero-length paths
+    (from ``zero_length_files`` or an inventory), so that they are quarantined too.
     """
     files = (
         spark.read.format("binaryFile")
@@ -46,6 +64,11 @@ def scan_images(
             F.sha2("content", 256).alias("sha256"),
         )
     )
+    if empty_files is not None:
+        blank = empty_files.select(
+            _plain_path(F.col("path")).alias("path"), F.lit(0).cast("bigint").alias("file_bytes"), F.lit("").alias("sha256")
+        )
+        files = files.unionByName(blank)
     decoded = (
         spark.read.format("image")
         .option("recursiveFileLookup", True)
