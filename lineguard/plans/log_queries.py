@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lineguard import params
 from lineguard.functions import columns as C
 from lineguard.operators import logs, metrics
 from lineguard.plans import fixtures as X
