@@ -8,12 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineguard.llm import packing, simhash, token_counts
-from lineguard.llm.common import load
+from lineguard.llm import fingerprints, language, packing, simhash, token_counts, toxicity
+from lineguard.llm.common import load, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(load(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    net = toxicity.learn(docs, load(spark, sf_dir, "labels"), remainder(F.col("id"), 5) != 0)
+    scored = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), toxicity.score(net, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = token_counts.truncation(F.col("text"), public_tokenizers.path("word_bpe_49k.json"), 2048)
     docs = load(spark, sf_dir, "documents").select(
@@ -31,8 +42,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = language.learn(docs, remainder(F.col("doc_id"), 4) != 2)
+    scored = docs.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), language.predict(model, F.col("text")).alias("p"))
+    return scored.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op4_token_counts, op6_simhash, op9_packing)}
+    return {q.__name__: q for q in (op1_weighted_fingerprints, op2_toxicity, op4_token_counts, op6_simhash, op9_packing, op10_language)}
 
 
 def oracles() -> dict[str, str]:
