@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineguard.llm import fingerprints, language, packing, simhash, token_counts, toxicity
+from lineguard.llm import fingerprints, language, mixing, packing, simhash, token_counts, toxicity
 from lineguard.llm.common import load, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(load(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = token_counts.truncation(F.col("text"), public_tokenizers.path("word_bpe_49k.json"), 2048)
     docs = load(spark, sf_dir, "documents").select(
@@ -50,8 +55,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_weighted_fingerprints, op2_toxicity, op4_token_counts, op6_simhash, op9_packing, op10_language)}
+    return {q.__name__: q for q in (op1_weighted_fingerprints, op2_toxicity, op3_mixing, op4_token_counts, op6_simhash, op9_packing, op10_language)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {
+        "op3_mixing": mixing.sql(columns="doc_id, topic, tokens, round(probability, 6) AS probability, kept"),
+    }
