@@ -73,6 +73,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
             held = F.sum("share").over(Window.partitionBy(dim))
             share = F.col("share") * F.coalesce(f"to_{dim}", F.lit(0.0)) / held
             out = out.withColumn("share", F.when(held > 0, share).otherwise(0.0))
+        out = stage(out, "raked")  # keeps the plan short
     return out.drop(*[f"to_{dim}" for dim in targets])
 
 
@@ -118,7 +119,7 @@ def mix(
     cells = counted.groupBy(*[c.alias(n) for n, c in axes.items()]).agg(F.sum(names["tokens"]).alias("tokens"))
     cells = stage(cells, "cells")
     wanted = targets or {dim: tempered(cells, dim, power) for dim, power in TEMPER.items()}
-    raked = stage(rake(cells, wanted), "raked")
+    raked = rake(cells, wanted)
     fitted = calibrate(raked, budget).select(*[F.col(n).alias(f"__{n}") for n in axes], F.col("probability").alias(names["probability"]))
     same = [c.eqNullSafe(fitted[f"__{n}"]) for n, c in axes.items()]
     joined = counted.join(fitted, same[0] & same[1] & same[2], "left").drop(*[f"__{n}" for n in axes])
