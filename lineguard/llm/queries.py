@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineguard.llm import fingerprints, language, mixing, packing, simhash, token_counts, toxicity, url_filter, warc
+from lineguard.llm import fingerprints, language, mixing, packing, simhash, token_counts, toxicity, url_filter, vectors, warc
 from lineguard.llm.common import load, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_bytes", "answer.n_tokens", "answer.over_limit", "answer.fitting_chars")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint_bits")).alias("fingerprint"), "component_id")
@@ -126,7 +130,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_weighted_fingerprints, op2_toxicity, op3_mixing, op4_token_counts, op6_simhash, op7_warc, op8_url_filter, op9_packing, op10_language)}
+    return {q.__name__: q for q in (op1_weighted_fingerprints, op2_toxicity, op3_mixing, op4_token_counts, op5_embeddings, op6_simhash, op7_warc, op8_url_filter, op9_packing, op10_language)}
 
 
 def oracles() -> dict[str, str]:
