@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,7 +131,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_weighted_fingerprints, op2_toxicity, op3_mixing, op4_token_counts, op5_embeddings, op6_simhash, op7_warc, op8_url_filter, op9_packing, op10_language)}
+    return {q.__name__: q for q in (op1_weighted_fingerprints, op2_toxicity, op3_mixing, op4_token_counts, op5_embeddings, op6_simhash, op7_warc, op8_url_filter, op9_packing, op10_language)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
