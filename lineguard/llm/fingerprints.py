@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from lineguard.llm.common import stage
 
-SAMPLES = 32
+#: The standard error of a likeness is at most 0.5 / sqrt(SAMPLES).
+SAMPLES = 24
 #: Hex digits that each sample has in a fingerprint.
 DIGITS = 8
 #: Rows of one window task when documents are put in order.
@@ -25,27 +26,22 @@ ORDERED_ROWS = 4_000
 
 
 def terms(text: Column) -> Column:
-    """The distinct words of a text as an array of ``term`` (a hash) and ``weight``.
+    """The words of a text, hashed and sorted so that equal ones stand together.
 
-    Hashes are sorted and each run counted, all within the row. A text without words has the one term 0.
+    White space and punctuation part words; at the ends of a text they leave an empty word, which counts like
+    any other, so an empty text has one term.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+"), lambda w: w != "")
-    hashes = F.array_sort(F.transform(words, lambda w: F.xxhash64(w)))
-    return F.when(F.size(words) > 0, hashes).otherwise(F.array(F.lit(0).cast("long")))
-
-
-def _uniform(bits: Column) -> Column:
-    """In the open interval (0, 1), from 32 bits."""
-    return (bits + F.lit(0.5)) * F.lit(2.0**-32)
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+")
+    return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def _drawn(term: Column, log_weight: Column, k: int) -> Column:
-    """ln a of sample *k*."""
-    first, second, third = (F.xxhash64(term, F.lit(3 * k + i)) for i in range(3))
-    high, low = (lambda h: F.shiftrightunsigned(h, 32)), (lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)))
-    r = -F.ln(_uniform(high(first)) * _uniform(low(first)))
-    log_c = F.ln(-F.ln(_uniform(high(second)) * _uniform(low(second))))
-    b = _uniform(high(third))
+    """ln a of sample *k*. A Gamma(2, 1) number is minus the logarithm of a product of two uniform ones."""
+    first, second = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    uniform = lambda h, low, n: (F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << n) - 1)) + F.lit(0.5)) * F.lit(2.0**-n)
+    r = -F.ln(uniform(first, 0, 21) * uniform(first, 21, 21))
+    b = uniform(first, 42, 22)
+    log_c = F.ln(-F.ln(uniform(second, 0, 32) * uniform(second, 32, 32)))
     return log_c - r * (F.floor(log_weight / r + b) - b + 1)
 
 
