@@ -10,27 +10,6 @@ EDGE_THRESHOLD = 0.12
 ENTROPY_BINS = 64
 
 
-def to_gray(pixels: np.ndarray, *, bgr: bool = False) -> np.ndarray:
-    """2-D float image in [0, 1] from gray or colour, HWC or CHW, 0-255 or 0-1."""
-    a = np.asarray(pixels, dtype=np.float64)
-    if a.ndim not in (2, 3):
-        raise ValueError(f"an image has 2 or 3 dimensions, not {a.ndim}")
-    if a.size == 0:
-        raise ValueError("the image is empty")
-    if a.ndim == 3:
-        channels_first = a.shape[0] in (1, 3) and a.shape[2] not in (1, 3, 4)
-        if channels_first:
-            a = np.moveaxis(a, 0, 2)
-        if a.shape[2] == 1:
-            a = a[:, :, 0]
-        else:
-            rgb = a[:, :, :3]
-            a = (rgb[:, :, ::-1] if bgr else rgb) @ LUMA
-    if a.max() > 1.0 + 1e-9:
-        a = a / 255.0
-    return a.clip(0.0, 1.0)
-
-
 def decode_row(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     """Gray image of one row of Spark's image source, whose colour order is BGR.
 

@@ -364,15 +364,14 @@ def positive_weight(df: DataFrame, label: str) -> DataFrame:
 
 
 def score_histogram(df: DataFrame, by: Sequence[str], score: str, bins: int = params.SCORE_HISTOGRAM_BINS) -> DataFrame:
-    """Equal-width density on [0, 1], the last bin closed; only occupied bins are rows."""
+    """Equal-width density on [0, 1], the last bin closed; every group has all its bins, empty ones too."""
     inside = df.where(F.col(score).between(0.0, 1.0))
     at = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
     counts = inside.groupBy(*by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*(list(by) or [F.lit(0)])))
-    return counts.select(
-        *by,
-        "bin",
-        (F.col("bin") / float(bins)).alias("bin_start"),
-        "n",
-        (F.col("n") / (total * (1.0 / bins))).alias("density"),
+    entries = F.map_from_entries(F.collect_list(F.struct("bin", "n")))  # at most one per bin
+    groups = counts.groupBy(*by).agg(F.sum("n").alias("total"), entries.alias("filled"))
+    n = F.coalesce(F.try_element_at("filled", F.col("bin")), F.lit(0)).cast("bigint")
+    each = groups.where("total > 0").select(*by, "total", "filled", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return each.select(
+        *by, "bin", (F.col("bin") / float(bins)).alias("bin_start"), n.alias("n"), (n / (F.col("total") * (1.0 / bins))).alias("density")
     )

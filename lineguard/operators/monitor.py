@@ -199,7 +199,8 @@ def window_signals(
         ratio(F.col("n_review").cast("double"), F.col("n_samples")).alias("review_rate"),
         chi2.alias("class_mix_chi2"),
         dof.alias("_dof"),
-        "n_labeled",
+        # Too few labels count as none, here and in what the retraining policy sums.
+        F.when(F.col("n_labeled") >= thresholds["min_labeled"], F.col("n_labeled")).otherwise(F.lit(0)).cast("bigint").alias("n_labeled"),
         *PERFORMANCE,
         drop_from(baseline("reference_accuracy"), F.col("accuracy")).alias("accuracy_drop"),
         drop_from(baseline("reference_recall"), F.col("recall")).alias("recall_drop"),

@@ -1,16 +1,13 @@
 """Leakage-safe train/val/test manifests.
 
-Whole duplicate groups go to one fold. Placing groups one after another is sequential
-by nature; here only the large groups are, and their number is bounded:
-a group is large when it holds at least 1/10000 of its stratum. The others are each too small
-to matter for a quota and take their fold from a running share in hash order.
+Whole duplicate groups go to one fold. Groups are put in a hash order per stratum; the place of a group's middle
+on the running share of rows names its fold, so each quota is met within half a group, at any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +20,6 @@ from lineguard.session import stage
 MANIFEST_COLUMNS = (
     "relpath", "class_name", "label", "split", "group", "sha256", "dhash", "width", "height", "file_bytes"
 )
-#: A stratum can hold at most this many large groups.
-LARGE_GROUPS = 10_000
 
 
 def fold_targets(val_size: float, test_size: float) -> dict[str, float]:
@@ -42,67 +37,20 @@ def majority_label(df: DataFrame, group: str = "group", label: str = "label") ->
     )
 
 
-def _place_largest_first(targets: dict[str, float]):
-    """Fill folds with whole groups, each to the fold furthest below its quota."""
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        quota = {f: share * float(pdf["total"].iloc[0]) for f, share in targets.items()}
-        room = dict(quota)
-        folds = []
-        for size in pdf.sort_values(["size", "draw"], ascending=[False, True])["size"]:
-            fold = max(room, key=room.__getitem__)
-            room[fold] -= size
-            folds.append(fold)
-        out = pdf.sort_values(["size", "draw"], ascending=[False, True])[["stratum", "group", "size"]].copy()
-        out["split"] = folds
-        return out
-
-    return place
-
-
-def assign_folds(
-    groups: DataFrame, targets: dict[str, float], *, seed: int = params.SEED, large_groups: int = LARGE_GROUPS
-) -> DataFrame:
+def assign_folds(groups: DataFrame, targets: dict[str, float], *, seed: int = params.SEED) -> DataFrame:
     """``(group, split)`` from ``(stratum, group, size)``.
 
-    Deterministic in the seed: the shuffle order is a hash of seed and group key.
+    Deterministic in the seed: the order is a hash of seed and group key.
     """
-    totals = groups.groupBy("stratum").agg(F.sum("size").alias("total"))
-    # Strata are the configured classes (or one), so this broadcast is bounded.
-    drawn = groups.join(F.broadcast(totals), "stratum").withColumn("draw", hash_order(seed, F.col("group")))
-    is_large = F.col("size") * large_groups >= F.col("total")
-    placed = (
-        drawn.where(is_large)
-        .groupBy("stratum")
-        .applyInPandas(
-            _place_largest_first(targets), "stratum int, group string, size bigint, split string"
-        )
-    )
-    small = drawn.where(~is_large)
-    used = placed.groupBy("stratum").agg(
-        *[F.sum(F.when(F.col("split") == f, F.col("size"))).alias(f"used_{f}") for f in targets]
-    )
-    running = running_sums(
-        small.select("stratum", "group", "size", "draw"), ["stratum"], ["draw"], ["size"]
-    )
-    room = totals.join(used, "stratum", "left").select(
-        "stratum",
-        *[
-            F.greatest(F.col("total") * share - F.coalesce(F.col(f"used_{f}"), F.lit(0)), F.lit(0.0)).alias(f"room_{f}")
-            for f, share in targets.items()
-        ],
-    )
-    names = list(targets)
-    spare = sum((F.col(f"room_{f}") for f in names[1:]), F.col(f"room_{names[0]}"))
-    # The middle of the group's span decides, so a fold overshoots by half a small group.
+    drawn = groups.select("stratum", "group", "size", hash_order(seed, F.col("group")).alias("draw"))
+    running = running_sums(drawn, ["stratum"], ["draw"], ["size"])
     at = (F.col("cum_size") - F.col("size") / 2.0) / F.col("tot_size")
-    split: Column = F.lit(names[-1])
-    upto = spare
-    for f in reversed(names[:-1]):
-        upto = upto - F.col(f"room_{names[names.index(f) + 1]}")
-        split = F.when(at * spare < upto, F.lit(f)).otherwise(split)
-    shared = running.join(F.broadcast(room), "stratum").select("group", split.alias("split"))
-    return placed.select("group", "split").unionByName(shared)
+    *early, last = targets
+    bounds = [sum(list(targets.values())[: i + 1]) for i in range(len(early))]
+    split: Column = F.lit(last)
+    for fold, bound in reversed(list(zip(early, bounds))):
+        split = F.when(at < bound, F.lit(fold)).otherwise(split)
+    return running.select("group", split.alias("split"))
 
 
 def join_folds(rows: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -153,7 +101,6 @@ def build_manifest(
     stratify: bool = params.SPLIT["stratify"],
     group_by_hash: bool = params.SPLIT["group_by_hash"],
     seed: int = params.SEED,
-    large_groups: int = LARGE_GROUPS,
 ) -> DataFrame:
     """The manifest of a validated scan."""
     targets = fold_targets(val_size, test_size)
@@ -163,7 +110,7 @@ def build_manifest(
     sized = majority_label(rows)
     stratum = F.col("majority").cast("int") if stratify else F.lit(0)
     groups = stage(sized.select(stratum.alias("stratum"), "group", "size"), "split-groups")
-    folds = assign_folds(groups, targets, seed=seed, large_groups=large_groups)
+    folds = assign_folds(groups, targets, seed=seed)
     return join_folds(rows, folds).select(*MANIFEST_COLUMNS)
 
 

@@ -420,7 +420,20 @@ def smp2(spark, sf):
     return sampling.cap_sample(X.preds(spark, sf), 4000, "id").select("id", "scenario")
 
 
-@register("spl1_greedy_group_split")
+#: Folds by the running share of rows in hash order, per majority class.
+_FOLDS = f"""
+WITH per AS (SELECT grp, label, count(*) AS n FROM manifest GROUP BY 1, 2),
+sized AS (SELECT grp, sum(n)::bigint AS size, arg_max(label, 2 * n - label) AS stratum FROM per GROUP BY 1),
+run AS (SELECT *, (sum(size) OVER (PARTITION BY stratum ORDER BY md5('42' || grp)) - size / 2.0::double) / sum(size) OVER (PARTITION BY stratum) AS at_share FROM sized),
+folds AS (SELECT *, CASE WHEN at_share < {1.0 - 0.15 - 0.2!r}::double THEN 'train' WHEN at_share < {1.0 - 0.15 - 0.2 + 0.15!r}::double THEN 'val' ELSE 'test' END AS fold FROM run)
+"""
+
+
+@register(
+    "spl1_greedy_group_split",
+    "manifest",
+    f"SELECT * FROM ({_FOLDS} SELECT stratum::bigint AS stratum, fold AS split, sum(size)::bigint AS n_rows, count(*) AS n_groups FROM folds GROUP BY 1, 2)",
+)
 def spl1(spark, sf):
     """Fold sizes against quotas, per stratum."""
     rows = split.with_groups(X.scan_docs(spark, sf))
@@ -430,7 +443,11 @@ def spl1(spark, sf):
     return groups.join(folds, "group").groupBy("stratum", "split").agg(F.sum("size").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"))
 
 
-@register("spl2_build_manifest")
+@register(
+    "spl2_build_manifest",
+    "manifest",
+    f"SELECT * FROM ({_FOLDS} SELECT m.relpath, m.class_name, m.label::bigint AS label, f.fold AS split, m.grp AS \"group\" FROM manifest m JOIN folds f USING (grp))",
+)
 def spl2(spark, sf):
     return split.build_manifest(X.scan_docs(spark, sf)).select("relpath", "class_name", "label", "split", "group")
 

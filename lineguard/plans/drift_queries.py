@@ -310,7 +310,7 @@ rm AS (SELECT count(*) FILTER (class_name = 'ok')::double AS r_ok, count(*) FILT
 perf AS (SELECT b.*, (tp + tn) / n_labeled::double AS acc, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::double ELSE 0 END AS prec,
   CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::double ELSE 0 END AS rec, roc_auc FROM beh b LEFT JOIN auc USING ({key})),
 sig AS (SELECT p.{key}, n_samples, psi_max, psi_mean, n_drifted, n_significant, drifted_features, worst_feature, mean_confidence,
-  0.8::double - mean_confidence AS mean_confidence_drop, mean_probability, predicted_defect_rate, review_rate, n_labeled,
+  0.8::double - mean_confidence AS mean_confidence_drop, mean_probability, predicted_defect_rate, review_rate, CASE WHEN n_labeled >= 20 THEN n_labeled ELSE 0 END AS n_labeled,
   CASE WHEN n_labeled >= 20 THEN acc END AS accuracy, CASE WHEN n_labeled >= 20 THEN prec END AS precision, CASE WHEN n_labeled >= 20 THEN rec END AS recall,
   CASE WHEN n_labeled >= 20 THEN CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END END AS f1,
   CASE WHEN n_labeled >= 20 THEN roc_auc END AS roc_auc, CASE WHEN n_labeled >= 20 THEN 0.8::double - acc END AS accuracy_drop,
@@ -485,28 +485,49 @@ def pol2(spark, sf):
 NOW = 1_706_745_600.0
 
 
-@register(
-    "pol3_gate_decision",
-    _SIG_VIEWS,
-    f"""WITH {_WIN}, {_signals('window_index')}, {_FIRED}, one AS (SELECT list_sort(list(rule)) AS f FROM fired),
+def _decision_sql(hours: float | None, need: int) -> str:
+    """The decision row; *hours* since the last retrain (None: never), *need* labels at least."""
+    waits = "false" if hours is None else f"{hours} < {float(params.RETRAINING['cooldown_hours'])}"
+    since = "NULL::double" if hours is None else f"{hours}::double"
+    return f"""WITH {_WIN}, {_signals('window_index')}, {_FIRED}, one AS (SELECT list_sort(list(rule)) AS f FROM fired),
     latest AS (SELECT * FROM final ORDER BY window_index DESC LIMIT 1), seen AS (SELECT count(*) AS n_windows, sum(n_labeled)::bigint AS labels FROM final),
-    act AS (SELECT {_ACTION} AS action, f, psi_max, accuracy_drop FROM (SELECT coalesce(f, []) AS f, n_labeled, accuracy_drop, psi_max FROM one CROSS JOIN latest))
-    SELECT false AS should_retrain, action, array_to_string(f, ',') AS fired_rules, n_windows AS windows_evaluated, labels AS labeled_available,
-    CASE WHEN action = 'retrain' THEN 1 ELSE 0 END::bigint AS n_blockers, 10.0::double AS hours_since_last_retrain, {r('psi_max')} AS latest_psi_max, {r('accuracy_drop')} AS latest_accuracy_drop
-    FROM act CROSS JOIN seen""",
-)
-def pol3(spark, sf):
-    out = policy.decide(window_report(spark, sf, with_ks=False), now=NOW, last_retrain=NOW - 36_000.0, rules=RULES,
-                        policy={**params.RETRAINING, "min_new_labeled_samples": 50})
+    act AS (SELECT {_ACTION} AS action, f, psi_max, accuracy_drop FROM (SELECT coalesce(f, []) AS f, n_labeled, accuracy_drop, psi_max FROM one CROSS JOIN latest)),
+    gate AS (SELECT *, CASE WHEN action = 'retrain' THEN ({waits})::int + (labels < {need})::int ELSE 0 END AS n FROM act CROSS JOIN seen)
+    SELECT action = 'retrain' AND n = 0 AS should_retrain, action, array_to_string(f, ',') AS fired_rules, n_windows AS windows_evaluated, labels AS labeled_available,
+    n::bigint AS n_blockers, {since} AS hours_since_last_retrain, {r('psi_max')} AS latest_psi_max, {r('accuracy_drop')} AS latest_accuracy_drop
+    FROM gate"""
+
+
+def _decision(spark, sf, last_retrain: float | None, need: int):
+    out = policy.decide(window_report(spark, sf, with_ks=False), now=NOW, last_retrain=last_retrain, rules=RULES,
+                        policy={**params.RETRAINING, "min_new_labeled_samples": need})
     return out.select(
         "should_retrain", "action", "fired_rules", "windows_evaluated", "labeled_available",
         F.size("blockers").alias("n_blockers"), "hours_since_last_retrain", "latest_psi_max", "latest_accuracy_drop",
     )
 
 
-@register("prj17_next_steps")
+@register("pol3_gate_decision", _SIG_VIEWS, _decision_sql(10.0, 50))
+def pol3(spark, sf):
+    """A retrain ten hours ago holds the next one back."""
+    return _decision(spark, sf, NOW - 36_000.0, 50)
+
+
+@register("pol3_open_gate", _SIG_VIEWS, _decision_sql(None, 50))
+def pol3_open(spark, sf):
+    """Nothing was retrained yet, so labels alone decide."""
+    return _decision(spark, sf, None, 50)
+
+
+@register(
+    "prj17_next_steps",
+    _SIG_VIEWS,
+    f"""WITH decided AS ({_decision_sql(None, 50)}),
+    steps(action, ids) AS (VALUES {", ".join(f"('{a}', {ids!r})" for a, ids in policy.FOLLOW_UP.items())})
+    SELECT action, (unnest(range(len(ids))))::bigint AS step, unnest(ids) AS text FROM decided JOIN steps USING (action)""",
+)
 def prj17(spark, sf):
-    out = policy.decide(window_report(spark, sf, with_ks=False), now=NOW)
+    out = policy.decide(window_report(spark, sf, with_ks=False), now=NOW, rules=RULES)
     return out.select("action", F.posexplode("next_steps").alias("step", "text"))
 
 

@@ -14,7 +14,7 @@ from lineguard.functions.columns import hash_draw, predicted_class, predicted_la
 from lineguard.functions.text_keys import text_grid_key
 from lineguard.operators.drift import Reference, build_reference
 from lineguard.operators.quality import file_issues, with_validity
-from lineguard.session import spread_small, stage
+from lineguard.session import stage
 
 #: Fixed values of the fixture views.
 REVIEW_BAND = (0.47, 0.53)
@@ -144,7 +144,7 @@ def scan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Like an image scan it is stored once; every later stage reads the stored table.
     """
-    docs = spread_small(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id"))
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").repartition("doc_id")
     space = "[ \\t\\n\\r\\f]+"
     words = F.regexp_count("text", F.lit("[^ \\t\\n\\r\\f]+"))
     solid = F.length(F.regexp_replace("text", space, ""))
@@ -207,7 +207,7 @@ def pixel_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gray_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grids as 8-bit gray image rows, shaped like Spark's image source."""
-    grids = spread_small(pixel_grids(spark, sf_dir))
+    grids = pixel_grids(spark, sf_dir).repartition("image_id")
     codes = F.transform("px", lambda v: F.lpad(F.hex(F.floor(v * 255.0 + 0.5)), 2, "0"))
     return grids.select(
         "image_id",

@@ -194,7 +194,8 @@ def agg33(spark, sf):
     "preds",
     f"""SELECT scenario, bin, {r('bin / 40.0::double')} AS bin_start, n,
     {r('n / (sum(n) OVER (PARTITION BY scenario) * 0.025::double)')} AS density
-    FROM (SELECT scenario, least(floor(probability * 40), 39)::bigint AS bin, count(*) AS n FROM preds GROUP BY 1, 2)""",
+    FROM (SELECT g.scenario, b.bin, count(p.scenario) AS n FROM (SELECT DISTINCT scenario FROM preds) g CROSS JOIN range(40) b(bin)
+      LEFT JOIN preds p ON p.scenario = g.scenario AND least(floor(p.probability * 40), 39)::bigint = b.bin GROUP BY 1, 2)""",
 )
 def agg34(spark, sf):
     return metrics.score_histogram(X.preds(spark, sf), ["scenario"], "probability")

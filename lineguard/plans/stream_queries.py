@@ -57,7 +57,7 @@ wl AS (""" + " UNION ALL ".join(f"SELECT g, '{f}' AS feature, {i} AS pos, {f} AS
       avg((decision = 'human_review')::int::double) AS review_rate, count(ground_truth) AS n_labeled,
       avg(((probability >= 0.5::double) = (ground_truth = 1))::int::double) FILTER (ground_truth IS NOT NULL) AS acc FROM closed GROUP BY 1)
     SELECT g AS start_us, n_samples, {r('psi_max')} AS psi_max, {r('psi_mean')} AS psi_mean, n_drifted, worst_feature, {r('mean_confidence')} AS mean_confidence,
-    {r('0.8::double - mean_confidence')} AS mean_confidence_drop, {r('review_rate')} AS review_rate, n_labeled,
+    {r('0.8::double - mean_confidence')} AS mean_confidence_drop, {r('review_rate')} AS review_rate, CASE WHEN n_labeled >= 20 THEN n_labeled ELSE 0 END AS n_labeled,
     CASE WHEN n_labeled >= 20 THEN {r('acc')} END AS accuracy, CASE WHEN n_labeled >= 20 THEN {r('0.8::double - acc')} END AS accuracy_drop
     FROM beh JOIN roll USING (g)""",
 )

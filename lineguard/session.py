@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +30,12 @@ def local_session(
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for one written table or stream.
 
-    Lives under ``spark.checkpoint.dir``, the storage every executor sees. A
-    local temporary folder is used only where that setting is absent and the
-    session is a local one.
+    Lives under ``spark.checkpoint.dir``, the storage every executor sees. Where that is unset the
+    warehouse folder, which executors share as well, takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = os.path.join(tempfile.gettempdir(), "lineguard-work")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lineguard-work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -53,15 +48,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread_small(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
-    """Spread a small input over all cores before costly per-row work.
-
-    A small file is often a single row group, hence a single task. The size is read from the
-    plan's statistics; a larger input already has enough splits and is left where it is.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > max_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

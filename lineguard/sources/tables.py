@@ -49,12 +49,12 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 
 
 def load_manifest(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """The manifest, or one split of it (only that partition is listed and read)."""
-    _require(spark, path)
-    if split is not None and split not in params.SPLITS:
-        raise ValueError(f"unknown split {split!r}, expected one of {params.SPLITS}")
-    df = spark.read.schema(schemas.MANIFEST).parquet(path).select(*[f.name for f in schemas.MANIFEST.fields])
-    return df if split is None else df.where(F.col("split") == split)
+    """The manifest, or one split of it, whose partition alone is then listed and read."""
+    known = F.lit(True) if split is None else F.col("split") == split
+    if split not in (None, *params.SPLITS):
+        raise ValueError(f"{split!r} is none of the splits {', '.join(params.SPLITS)}")
+    stored = spark.read.schema(schemas.MANIFEST).parquet(_require(spark, path))
+    return stored.where(known).select(*schemas.MANIFEST.fieldNames())
 
 
 # -- reference -----------------------------------------------------------------------

@@ -101,7 +101,7 @@ def window_signals(
         conf.alias("mean_confidence"),
         (ref_conf - conf).alias("mean_confidence_drop"),
         ratio(F.col("_review").cast("double"), F.col("n_samples")).alias("review_rate"),
-        labeled.alias("n_labeled"),
+        F.when(labeled >= thresholds["min_labeled"], labeled).otherwise(F.lit(0)).cast("bigint").alias("n_labeled"),
         measured.alias("accuracy"),
         (ref_acc - measured).alias("accuracy_drop"),
     )
