@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineguard import params
 from lineguard.functions.columns import finite_only, ratio, utc_iso
-from lineguard.operators.ordered import exact_quantiles, null_safe_join, row_index
+from lineguard.operators.ordered import exact_quantiles, null_safe_join, running_sums
 
 
 def flatten_stats(df: DataFrame, stats: str, features: Sequence[str] = params.FEATURE_NAMES) -> DataFrame:
@@ -189,16 +189,19 @@ def count_windows(
     """Consecutive chunks of ``size`` rows in (ts, id) order, with ``row_start`` and ``row_end``.
 
     A last chunk below ``min_rows`` is dropped. Only the last chunk can be short, so
-    ``window_index`` needs the row count alone, not a second ordering.
+    ``window_index`` and ``row_end`` need the row count alone, not a second pass.
     """
-    indexed = row_index(log, [], list(keys), "_row")
-    chunk = F.floor(F.col("_row") / size).cast("bigint")
-    total = F.max("_row").over(Window.partitionBy("window_index")) + 1
+    counted = running_sums(log.withColumn("_one", F.lit(1).cast("bigint")), [], list(keys), ["_one"])
+    chunk = F.floor((F.col("cum__one") - 1) / size).cast("bigint")
     return (
-        indexed.select("*", chunk.alias("window_index"))
-        .select("*", (F.col("window_index") * size).alias("row_start"), total.alias("row_end"))
+        counted.select(*log.columns, chunk.alias("window_index"), "tot__one")
+        .select(
+            *log.columns,
+            "window_index",
+            (F.col("window_index") * size).alias("row_start"),
+            F.least((F.col("window_index") + 1) * size, F.col("tot__one")).alias("row_end"),
+        )
         .where(F.col("row_end") - F.col("row_start") >= min_rows)
-        .drop("_row")
     )
 
 

@@ -147,7 +147,10 @@ def running_sums(
         *[F.sum(f"_sum_{c}").over(group).alias(f"tot_{c}") for c in sums],
         *([F.min_by("_first", "_at").over(group).alias(f"first_{carry_first[0]}")] if carry_first else []),
     )
-    joined = null_safe_join(rows, offsets, [*by, "_range"])
+    if by:
+        joined = null_safe_join(rows, offsets, [*by, "_range"])
+    else:  # one row per range, so the rows stay where they are
+        joined = rows.join(F.broadcast(offsets), "_range")
     return joined.select(
         *df.columns,
         *[(F.col(f"_before_{c}") + F.col(f"_local_{c}")).alias(f"cum_{c}") for c in sums],

@@ -140,13 +140,16 @@ def write_comparison_csv(table: DataFrame, path: str) -> None:
     table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def record_retrains(events: DataFrame, path: str) -> None:
+    """Append retrain events (``ts, reason``) in one job."""
+    iso = F.date_format(F.to_utc_timestamp(F.timestamp_seconds("ts"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = events.select(F.col("ts").cast("double"), iso.alias("ts_iso"), "reason")
+    rows.coalesce(1).write.mode("append").json(path)
+
+
 def record_retrain(spark: SparkSession, path: str, ts: float, reason: str) -> None:
     """Append one retrain event."""
-    row = spark.createDataFrame([(float(ts), None, reason)], schemas.RETRAIN_HISTORY)
-    stamped = row.withColumn(
-        "ts_iso", F.date_format(F.to_utc_timestamp(F.timestamp_seconds("ts"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    )
-    stamped.coalesce(1).write.mode("append").json(path)
+    record_retrains(spark.createDataFrame([(float(ts), reason)], "ts double, reason string"), path)
 
 
 def retrain_history(spark: SparkSession, path: str, rows: int = params.RETRAINING["history_rows"]) -> DataFrame:
