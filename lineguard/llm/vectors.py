@@ -1,15 +1,11 @@
-"""Near-duplicate embeddings by hierarchical navigable small-world graphs, one per shard.
+"""Near-duplicate embeddings by exact comparison, shard by shard.
 
-Vectors of a label are dealt to shards of bounded size, each shard gets a graph, and every distinct vector of
-the label is searched for in each of the label's shards. Per shard an audit compares the search with brute force on some of the shard's own
-vectors and widens the beam until every link of theirs is found. Candidates are verified by cosine in double precision; links become
-components by union over all shards.
+Vectors of a label are dealt to shards of bounded size, and each pair of the label's shards is one task that compares
+all their vectors by cosine in double precision. Links become components by union over all shards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,15 +17,8 @@ from lineguard.llm.components import components
 COSINE = 0.98
 #: Most vectors of a shard, on average: shards are dealt by hash.
 SHARD = 4_096
-#: Neighbours that a node keeps per layer (twice as many on the lowest), and the beam while a graph is built.
-DEGREE, BUILD_BEAM = 8, 48
-BEAM = 32
-#: Vectors of a shard that its audit searches for.
-AUDITED = 128
-#: Queries that move through a graph together.
+#: Rows that are compared with a shard at once.
 _TOGETHER = 512
-#: Nodes that enter a graph together; they are compared with each other directly.
-_BATCH = 256
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -38,164 +27,9 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-class Graph:
-    """A navigable small-world graph on unit vectors, which are numbered by row.
-
-    A vector that would link to a node of the graph becomes a follower of it instead of a node, so a crowd of near
-    copies is a few nodes and cannot wall off the rest. Angles obey the triangle inequality: what links to
-    a query is a node within twice the linking angle or a follower of one.
-    """
-
-    def __init__(self, vectors: np.ndarray, least: float, seed: int = 7):
-        n = len(vectors)
-        self.exact, self.near, self.least = vectors, vectors.astype(np.float32), least
-        levels = np.floor(-np.log(np.random.default_rng(seed).uniform(1e-12, 1, n)) / np.log(DEGREE)).astype(int)
-        order = np.argsort(-levels, kind="stable")  # high nodes first, so that upper layers steer the building of lower ones
-        self.entry, top = int(order[0]), int(levels.max())
-        widths = [2 * DEGREE if k == 0 else DEGREE for k in range(top + 1)]
-        self.layers = [np.full((n, w), -1, dtype=np.int64) for w in widths]  # neighbours by node, -1 where there are fewer
-        self.likes = [np.full((n, w), -2.0, dtype=np.float32) for w in widths]
-        self.leader = np.arange(n)
-        lo = 1
-        while lo < n:
-            batch = order[lo : lo + min(_BATCH, max(8, lo))]
-            self._insert(batch, levels)
-            lo += len(batch)
-        self.members = np.argsort(self.leader, kind="stable")
-        self.first = np.searchsorted(self.leader[self.members], np.arange(n + 1))
-
-    def _insert(self, batch: np.ndarray, levels: np.ndarray) -> None:
-        start = np.full(len(batch), self.entry)
-        found = {}
-        for k in range(len(self.layers) - 1, -1, -1):
-            start, *found[k] = self._beam(self.near[batch], start, k, BUILD_BEAM if k == 0 or (levels[batch] >= k).any() else 1)
-        among = self.near[batch] @ self.near[batch].T
-        close = found[0][1][:, 0] >= self.least
-        self.leader[batch[close]] = found[0][0][close, 0]
-        new: list[int] = []
-        for i in np.flatnonzero(~close):
-            mate = new[int(among[i, new].argmax())] if new else -1
-            if mate >= 0 and among[i, mate] >= self.least:
-                self.leader[batch[i]] = batch[mate]
-            else:
-                new.append(int(i))
-        among = np.where(np.tril(np.ones_like(among, dtype=bool), -1), among, -2.0)
-        for k, (ids, sims) in found.items():
-            here = np.array([i for i in new if levels[batch[i]] >= k], dtype=int)
-            if not len(here):
-                continue
-            mates = among[np.ix_(here, here)]
-            take = np.argsort(-mates, axis=1)[:, : 2 * DEGREE]
-            both = np.concatenate((ids[here], batch[here][take]), axis=1)
-            like = np.concatenate((sims[here], np.take_along_axis(mates, take, axis=1)), axis=1)
-            sort = np.argsort(-like, axis=1, kind="stable")
-            self._connect(batch[here], np.take_along_axis(both, sort, axis=1), np.take_along_axis(like, sort, axis=1), k)
-
-    def _connect(self, nodes: np.ndarray, ids: np.ndarray, like: np.ndarray, k: int) -> None:
-        """Links each node to candidates (nearest first) that are not nearer to one it links to already, then to the nearest left; and back."""
-        width = self.layers[k].shape[1]
-        ids, like = ids[:, : 3 * width], like[:, : 3 * width]
-        good = like > -1.5
-        own = self.near[np.where(good, ids, 0)]
-        between = own @ own.transpose(0, 2, 1)
-        kept = np.zeros_like(good)
-        for j in range(ids.shape[1]):
-            crowded = np.where(kept, between[:, j], -2.0).max(axis=1) >= like[:, j]
-            kept[:, j] = good[:, j] & ~crowded & (kept.sum(axis=1) < width)
-        rank = np.where(kept, 0, np.where(good, 1, 2))
-        pick = np.argsort(rank, axis=1, kind="stable")[:, :width]
-        chosen = np.where(np.take_along_axis(good, pick, axis=1), np.take_along_axis(ids, pick, axis=1), -1)
-        score = np.where(chosen >= 0, np.take_along_axis(like, pick, axis=1), -2.0)
-        self.layers[k][nodes, : chosen.shape[1]], self.likes[k][nodes, : chosen.shape[1]] = chosen, score
-        at, new, sims = chosen.ravel(), np.repeat(nodes, chosen.shape[1]), score.ravel()
-        at, new, sims = at[at >= 0], new[at >= 0], sims[at >= 0]
-        sort = np.lexsort((-sims, at))
-        at, new, sims = at[sort], new[sort], sims[sort]
-        targets, first, n = np.unique(at, return_index=True, return_counts=True)
-        place = np.arange(len(at)) - np.repeat(first, n)
-        more = np.full((len(targets), width), -1, dtype=np.int64)
-        more_like = np.full((len(targets), width), -2.0, dtype=np.float32)
-        fit = place < width
-        row = np.repeat(np.arange(len(targets)), n)[fit]
-        more[row, place[fit]], more_like[row, place[fit]] = new[fit], sims[fit]
-        all_ids = np.concatenate((self.layers[k][targets], more), axis=1)
-        all_like = np.concatenate((self.likes[k][targets], more_like), axis=1)
-        best = np.argsort(-all_like, axis=1, kind="stable")[:, :width]
-        self.layers[k][targets] = np.take_along_axis(all_ids, best, axis=1)
-        self.likes[k][targets] = np.take_along_axis(all_like, best, axis=1)
-
-    def _beam(self, queries: np.ndarray, start: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The nearest node, and the *beam* nearest with their likeness (-2 where fewer), per query, on layer *k*; all queries step together."""
-        q, layer = len(queries), self.layers[k]
-        rows = np.arange(q)
-        ids = np.full((q, beam), -1, dtype=np.int64)
-        sims = np.full((q, beam), -2.0, dtype=np.float32)
-        done = np.ones((q, beam), dtype=bool)
-        ids[:, 0], sims[:, 0], done[:, 0] = start, np.einsum("ij,ij->i", queries, self.near[start]), False
-        seen = np.zeros((q, len(self.near)), dtype=bool)
-        seen[rows, start] = True
-        active = rows
-        while len(active):
-            best = np.where(done[active], -3.0, sims[active]).argmax(axis=1)
-            at = ids[active, best]
-            done[active, best] = True
-            near = layer[at]
-            fresh = (near >= 0) & ~seen[active[:, None], near]
-            seen[active[:, None], np.where(fresh, near, at[:, None])] = True
-            like = np.einsum("ij,ikj->ik", queries[active], self.near[near])
-            all_ids = np.concatenate((ids[active], np.where(fresh, near, -1)), axis=1)
-            all_sims = np.concatenate((sims[active], np.where(fresh, like, -2.0)), axis=1)
-            all_done = np.concatenate((done[active], ~fresh), axis=1)
-            part = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-            ids[active] = np.take_along_axis(all_ids, part, axis=1)
-            sims[active] = np.take_along_axis(all_sims, part, axis=1)
-            done[active] = np.take_along_axis(all_done, part, axis=1)
-            active = active[(~done[active]).any(axis=1)]
-        order = np.argsort(-sims, axis=1, kind="stable")
-        ids, sims = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
-        return ids[:, 0], ids, sims
-
-    def search(self, queries: np.ndarray, beam: int) -> Iterator[np.ndarray]:
-        """For each query the rows that link to it, as far as the beam finds their leaders."""
-        reach = np.float32(np.cos(2 * np.arccos(self.least)) - 1e-4)
-        for lo in range(0, len(queries), _TOGETHER):
-            part = queries[lo : lo + _TOGETHER]
-            low = part.astype(np.float32)
-            start = np.full(len(part), self.entry)
-            for k in range(len(self.layers) - 1, 0, -1):
-                start = self._beam(low, start, k, 4)[0]
-            _, ids, sims = self._beam(low, start, 0, min(beam, len(self.near)))
-            who, col = np.nonzero((sims >= reach) & (ids >= 0))
-            led = ids[who, col]
-            by_leader = np.argsort(led, kind="stable")
-            who, led = who[by_leader], led[by_leader]
-            out: list[list[np.ndarray]] = [[] for _ in part]
-            for leader, a in zip(*np.unique(led, return_index=True)):
-                askers = who[a : np.searchsorted(led, leader, side="right")]
-                rows = self.members[self.first[leader] : self.first[leader + 1]]
-                linked = part[askers] @ self.exact[rows].T >= self.least
-                for i, hit in zip(askers, linked):
-                    out[i].append(rows[hit])
-            yield from (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-
-    def audited_beam(self, beam: int = BEAM) -> int:
-        """The least doubling of *beam* with which every link of the audited vectors is found."""
-        picks = np.unique(np.linspace(0, len(self.near) - 1, min(AUDITED, len(self.near))).astype(int))
-        want = [np.flatnonzero(row >= self.least) for row in self.exact[picks] @ self.exact.T]
-        while beam < len(self.near):
-            if all(len(np.setdiff1d(w, g)) == 0 for w, g in zip(want, self.search(self.exact[picks], beam))):
-                break
-            beam *= 2
-        return beam
-
-
 def _linked(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Which rows of *a* link to which of *b*: each side is searched for in the other's graph, and either find counts."""
-    out = np.zeros((len(a), len(b)), dtype=bool)
-    for own, asked, to in ((a, b, out), (b, a, out.T))[: 1 if a is b else 2]:
-        graph = Graph(own, least)
-        for k, rows in enumerate(graph.search(asked, graph.audited_beam())):
-            to[rows, k] = True
+    """Which rows of *a* link to which of *b*: every pair is compared, by products of blocks of rows."""
+    out = np.concatenate([a[lo : lo + _TOGETHER] @ b.T >= least for lo in range(0, len(a), _TOGETHER)])
     if a is b:
         out |= out.T.copy()
         np.fill_diagonal(out, False)

@@ -173,6 +173,20 @@ def test_embedding_links_equal_brute_force(spark):
         assert got == want
 
 
+def test_links_in_crowds_of_a_full_shard():
+    rng = np.random.default_rng(1)
+    n, dim = 3000, 16
+    rows = rng.standard_normal((n, dim))
+    free = rng.permutation(np.setdiff1d(np.arange(n), np.linspace(0, n - 1, 128).astype(int)))
+    for size in (40, 100, 200):
+        crowd, free = free[:size], free[size:]
+        rows[crowd] = rng.standard_normal(dim) + 0.18 * rng.standard_normal((size, dim))
+    x = vectors.unit(rows)
+    want = x @ x.T >= 0.98
+    np.fill_diagonal(want, False)
+    assert (vectors._linked(x, x, 0.98) == want).all()
+
+
 # -- WARC
 
 
