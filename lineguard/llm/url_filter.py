@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from lineguard.llm.common import fresh
 
 SALTS = 16
-#: Labels of a host that are looked at, from its end; rules with more labels match no capture.
-LABELS = 8
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:@]+)"
 
 
@@ -39,9 +37,9 @@ def intervals(changes: DataFrame) -> DataFrame:
 
 
 def rules_of(name: Column) -> Column:
-    """The host *name* and the domains above it, up to ``LABELS`` labels; no domain for an empty name."""
+    """The host *name* and all domains above it; no domain for an empty name."""
     labels = F.split(name, r"\.")
-    each = F.sequence(F.lit(1), F.least(F.size(labels), F.lit(LABELS)))
+    each = F.sequence(F.lit(1), F.size(labels))
     return F.when(name == "", F.array().cast("array<string>")).otherwise(
         F.transform(each, lambda k: F.array_join(F.slice(labels, -k, k), "."))
     )

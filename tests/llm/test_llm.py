@@ -228,6 +228,15 @@ def test_entries_hold_from_their_day_to_the_next_change(spark):
     }
 
 
+def test_hosts_of_many_labels_are_looked_up_whole(spark):
+    deep = "a.b.c.d.e.f.g.h.x.com"
+    changes = spark.createDataFrame([("ads", deep, "c", "2024-01-01", True), ("bad", deep[2:], "c", "2024-01-01", True)], "list string, rule string, category string, day string, added boolean")
+    df = spark.createDataFrame([(1, f"http://{deep}/"), (2, f"http://{deep[2:]}/"), (3, f"http://z.{deep}/"), (4, "http://x.com/")], "k int, url string").withColumn("fetched", F.lit("2024-01-02").cast("date"))
+    entries = url_filter.intervals(changes.withColumn("day", F.col("day").cast("date")))
+    got = {r["k"]: r["lists"] for r in url_filter.active_entries(df, entries).collect()}
+    assert got == {1: ["ads", "bad"], 2: ["bad"], 3: ["ads", "bad"], 4: []}
+
+
 # -- packing
 
 
