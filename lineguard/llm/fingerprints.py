@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lineguard.llm.common import stage
 
 #: The standard error of a likeness is at most 0.5 / sqrt(SAMPLES).
-SAMPLES = 24
+SAMPLES = 32
 #: Hex digits that each sample has in a fingerprint.
 DIGITS = 8
 #: Rows of one window task when documents are put in order, and most ranges that they are cut into: the cuts pass

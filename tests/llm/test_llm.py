@@ -77,6 +77,12 @@ def test_collision_rate_is_the_generalised_jaccard(spark):
     assert np.mean(np.array(one) == np.array(two)) == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.07)
 
 
+def test_likenesses_have_a_standard_error_below_nine_hundredths(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b d")], "doc_id long, text string")
+    lengths = {len(r["fingerprint"]) for r in fingerprints.fingerprint_edits(df).collect()}
+    assert lengths == {fingerprints.SAMPLES * fingerprints.DIGITS} and 0.5 / fingerprints.SAMPLES**0.5 < 0.09
+
+
 @pytest.mark.parametrize("rows_per_range", [3, 4000])
 def test_next_document_across_ranges(spark, monkeypatch, rows_per_range):
     monkeypatch.setattr(fingerprints, "ORDERED_ROWS", rows_per_range)
