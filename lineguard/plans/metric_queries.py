@@ -147,7 +147,7 @@ def agg26(spark, sf):
 
 @register("agg26_bootstrap_auc")
 def agg26_auc(spark, sf):
-    return bootstrap.bootstrap_ranked(X.preds(spark, sf), BY, P, Y, "roc_auc", n_samples=20)
+    return bootstrap.bootstrap_ranked(X.preds(spark, sf), BY, P, Y, "roc_auc")
 
 
 @register(

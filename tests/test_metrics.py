@@ -123,3 +123,12 @@ def test_results_do_not_depend_on_partitioning(beta):
     for x, z in zip(a, b):
         for c in x.asDict():
             assert x[c] == z[c] or x[c] == pytest.approx(z[c], abs=1e-12)
+
+
+def test_auc_interval_draws_all_replicates(spark):
+    from lineguard import params
+    from lineguard.plans import catalog
+
+    rows = catalog.queries()["agg26_bootstrap_auc"](spark, "/root/testdata/sf0.001").collect()
+    drawn = [r["n_bootstrap"] for r in rows]
+    assert rows and max(drawn) > 0.9 * params.BOOTSTRAP_SAMPLES and max(drawn) <= params.BOOTSTRAP_SAMPLES
