@@ -27,21 +27,22 @@ def remainder(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def sampled_rows(df: DataFrame, key: Column, per_class: int, order: Column) -> list:
-    """At most *per_class* rows of each class, the smallest by a hash of *order*; ties are cut arbitrarily.
+def sampled_rows(df: DataFrame, key: Column, per_class: int, *order: Column) -> list:
+    """At most *per_class* rows of each class, the smallest by a hash of *order*; rows with equal *order* count once.
 
-    A class is thinned by its own count before anything is ranked, so that the rank
-    never sees more than about twice the bound, whatever a class holds.
+    A class is thinned by its number of distinct hashes before anything is ranked, and repeats are merged by the
+    executors, so that the driver never sees more than about twice the bound, whatever a class holds.
     """
     k, h, w = fresh(df, "class"), fresh(df, "order"), fresh(df, "share")
-    keyed = df.withColumn(k, key).where(F.col(k).isNotNull())
-    unit = F.shiftrightunsigned(F.xxhash64(order), 11) / F.lit(float(1 << 53))
-    counts = keyed.groupBy(k).agg(F.count("*").alias("n")).collect()
+    keyed = df.withColumn(k, key).where(F.col(k).isNotNull()).withColumn(h, F.xxhash64(*order))
+    counts = keyed.groupBy(k).agg(F.approx_count_distinct(h).alias("n")).collect()
     if not counts:
         return []
-    share = {r[k]: min(1.0, (2.0 * per_class + 64) / r["n"]) for r in counts}
+    share = {r[k]: min(1.0, (2.0 * per_class + 64) / max(1, r["n"])) for r in counts}
     thin = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    rows = keyed.withColumn(h, unit).withColumn(w, F.element_at(thin, F.col(k))).where(F.col(h) < F.col(w)).drop(w).collect()
+    unit = F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
+    few = keyed.withColumn(w, F.element_at(thin, F.col(k))).where(unit < F.col(w)).drop(w)
+    rows = few.dropDuplicates([k, h]).withColumn(h, unit).collect()
     kept: dict = {}
     for r in sorted(rows, key=lambda r: r[h]):
         if len(kept.setdefault(r[k], [])) < per_class:

@@ -135,7 +135,7 @@ def learn(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
     """Fits on at most ``PER_LANGUAGE`` rows of each language, those with a text and a language where *usable* holds."""
     rows = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
-    return fit([(r["text"], r["lang"]) for r in sampled_rows(rows, F.col("lang"), PER_LANGUAGE, F.col("id"))])
+    return fit([(r["text"], r["lang"]) for r in sampled_rows(rows, F.col("lang"), PER_LANGUAGE, F.col("id"), F.col("text"))])
 
 
 def predict(model: Model, text: Column) -> Column:

@@ -307,14 +307,15 @@ def learn(docs: DataFrame, marks: DataFrame, usable: Column, id_col: str = "doc_
     """Trains on at most ``PER_LABEL`` documents of each label, those of *marks* where *usable* holds.
 
     A document without a label, or with a null or other label, is not used; a null text counts as empty.
-    Where a document is marked more than once, the highest mark counts.
+    Where a document is marked more than once, the highest mark counts; of documents that share an id, the least text.
     """
     marked = marks.where(F.col(mark_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
     marked = marked.agg(F.max(mark_col).cast("int").alias("mark"))
     picked = sampled_rows(marked.where(usable), F.col("mark"), PER_LABEL, F.col("id"))
     chosen = docs.sparkSession.createDataFrame([(r["id"], r["mark"]) for r in picked], "id long, mark int")
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = own.join(F.broadcast(chosen), "id").collect()  # at most the sample
+    found = own.join(F.broadcast(chosen), "id").groupBy("id", "mark").agg(F.min("text").alias("text"))
+    rows = found.collect()  # at most the sample
     rows = sorted(rows, key=lambda r: (r["id"], r["text"]))
     return train([r["text"] for r in rows], [r["mark"] for r in rows])
 

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lineguard.llm import fingerprints, language, mixing, packing, queries, simhash, token_counts, toxicity, url_filter, vectors, warc
-from lineguard.llm.common import load, remainder
+from lineguard.llm.common import load, remainder, sampled_rows
 from lineguard.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -343,6 +343,20 @@ def test_toxicity_finds_rude_windows_anywhere():
     assert toxicity.windows(0).tolist() == [0] and toxicity.windows(33).tolist() == [0, 16]
 
 
+def test_samples_with_null_and_repeated_ids(spark, monkeypatch):
+    rows = [(None if i % 3 == 0 else i, f"t{i}", "a") for i in range(3000)] + [(7000, "same", "a")] * 3000 + [(None, "null", "b")] * 500
+    df = spark.createDataFrame(rows, "id long, text string, lang string").repartition(4)
+    got = sampled_rows(df, F.col("lang"), 200, F.col("id"), F.col("text"))
+    of = {x: [r for r in got if r["lang"] == x] for x in "ab"}
+    assert len(of["a"]) == 200 and len({r["text"] for r in of["a"]}) == 200 and len(of["b"]) == 1
+    assert 30 < sum(r["id"] is None for r in of["a"]) < 110
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, marks: taken.extend(zip(texts, marks)))
+    docs = spark.createDataFrame([(1, f"copy {i}") for i in range(300)] + [(2, "two")], "doc_id long, text string")
+    toxicity.learn(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), F.lit(True))
+    assert taken == [("copy 0", 1), ("two", 0)]
+
+
 # -- mixing
 
 
