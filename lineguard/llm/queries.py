@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineguard.llm import fingerprints, language, mixing, packing, simhash, token_counts, toxicity, url_filter, vectors, warc
+from lineguard.llm import (
+    bitsliced,
+    compression,
+    fingerprints,
+    language,
+    mixing,
+    packing,
+    simhash,
+    token_counts,
+    toxicity,
+    url_filter,
+    vectors,
+    warc,
+    whitening,
+)
 from lineguard.llm.common import load, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,8 +144,40 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of all embeddings on the eight leading components."""
+    found = whitening.whiten(load(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, compression ratios and the verdict for every document."""
+    judged = load(spark, sf_dir, "documents").select("doc_id", compression.judge(F.col("text")).alias("j"))
+    return judged.select("doc_id", "j.*")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return bitsliced.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("candidates")
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_weighted_fingerprints, op2_toxicity, op3_mixing, op4_token_counts, op5_embeddings, op6_simhash, op7_warc, op8_url_filter, op9_packing, op10_language)} | {"pipeline": corpus_pipeline.run}
+    own = (
+        op1_weighted_fingerprints,
+        op2_toxicity,
+        op3_mixing,
+        op4_token_counts,
+        op5_embeddings,
+        op6_simhash,
+        op7_warc,
+        op8_url_filter,
+        op9_packing,
+        op10_language,
+        op11_whitening,
+        op12_compression,
+        op13_ranked_search,
+    )
+    return {q.__name__: q for q in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
@@ -139,4 +185,5 @@ def oracles() -> dict[str, str]:
         "op3_mixing": mixing.sql(columns="doc_id, topic, tokens, round(probability, 6) AS probability, kept"),
         "op7_warc": _WARC_SQL,
         "op8_url_filter": _URL_SQL,
+        "op13_ranked_search": bitsliced.sql(),
     }
