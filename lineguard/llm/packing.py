@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -46,10 +47,15 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        self.path = path
+        self.quick = self._quick(path)
+
+    @cached_property
+    def library(self):
+        """The tokenizer library, loaded when a text needs it."""
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.quick = self._quick(path)
+        return Tokenizer.from_file(self.path)
 
     def _quick(self, path: str):
         import tiktoken
@@ -70,7 +76,7 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""
-        if self.quick and not UNUSUAL.search(text):
+        if self.quick and (text.isascii() or not UNUSUAL.search(text)):
             return self.quick.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
