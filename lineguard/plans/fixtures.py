@@ -100,7 +100,10 @@ def feedback_rows(rows: DataFrame) -> DataFrame:
 
 def corrected_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``feedback`` plus corrections five hours later, and labels of requests never logged."""
-    base = feedback(spark, sf_dir)
+    return corrected_rows(feedback(spark, sf_dir))
+
+
+def corrected_rows(base: DataFrame) -> DataFrame:
     fix = base.where(F.col("request_id") % 10 == 1).select(
         "request_id",
         (1 - F.col("ground_truth")).alias("ground_truth"),

@@ -29,6 +29,8 @@ def with_views(names: str, select: str) -> str:
         return select.strip()
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1].strip()})" for n in order)
     body = select.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

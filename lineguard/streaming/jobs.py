@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lineguard import params
 from lineguard.functions.columns import max_confidence, ratio
@@ -19,23 +17,67 @@ from lineguard.operators.model import score_batch
 from lineguard.session import shared_folder
 
 
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_KEYED_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _state_store(spark: SparkSession, provider: str | None) -> Iterator[None]:
+    """The session's state store is *provider* while a query starts."""
+    before = spark.conf.get(_STATE_STORE, None)
+    if provider:
+        spark.conf.set(_STATE_STORE, provider)
+    try:
+        yield
+    finally:
+        if provider:
+            spark.conf.set(_STATE_STORE, before) if before else spark.conf.unset(_STATE_STORE)
+
+
 def run_to_table(
-    stream: DataFrame, name: str, *, mode: str = "append", path: str | None = None, partition_by: Sequence[str] = ()
+    stream: DataFrame,
+    name: str,
+    *,
+    mode: str = "append",
+    path: str | None = None,
+    partition_by: Sequence[str] = (),
+    keyed_state: bool = False,
 ) -> DataFrame:
     """Process everything available into a Parquet table and return that table.
 
-    Table and checkpoint lie in the shared folder; a restart with the same path resumes.
+    Table and checkpoint lie in the shared folder; a restart with the same path resumes. ``keyed_state`` gives
+    the query the state store that operators with their own state and timers need.
     """
     spark = stream.sparkSession
     path = path or shared_folder(spark, name)
     writer = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{path}/_checkpoint")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    query = writer.option("path", f"{path}/rows").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with _state_store(spark, _KEYED_STATE if keyed_state else None):
+        query = writer.option("path", f"{path}/rows").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
+    """One micro-batch into its own folder, in place of what an earlier attempt at the same batch left there."""
+    rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+
+
+def run_by_batch(stream: DataFrame, name: str, *, path: str | None = None) -> DataFrame:
+    """Process everything available, a folder per micro-batch, and return the table (column ``batch`` added).
+
+    For sinks that keep no log of their own: a batch that is run again, as after a crash between write and
+    checkpoint, overwrites its folder, so nothing is added twice.
+    """
+    spark = stream.sparkSession
+    path = path or shared_folder(spark, name)
+    writer = stream.writeStream.foreachBatch(lambda rows, batch_id: write_batch(rows, batch_id, path))
+    query = writer.option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/rows")
+
+
 def stream_score(requests: DataFrame, model: PipelineModel, **options) -> DataFrame:
     """Prediction-log rows for a stream of requests: the batch scorer, unchanged."""
     return score_batch(model, requests, **options)
@@ -115,10 +157,12 @@ def feedback_join(
     prediction_delay: str = "1 hour",
     feedback_delay: str = "1 hour",
 ) -> DataFrame:
-    """Left outer interval join of a prediction stream and a label stream.
+    """Each prediction once, with the last label that came for it in time, or without one.
 
-    A prediction waits up to ``within`` for its label, then leaves with a null. State is
-    bounded by the interval and both watermarks.
+    A prediction stream meets a label stream in a left outer interval join; corrections make several rows of a prediction, of
+    which an aggregate keeps the label that arrived last (of equal arrivals the greater one). A prediction leaves when the
+    watermarks are ``within`` past it, labelled or not, so both states are bounded by the interval. Labels of
+    unknown requests leave with the join's state. Columns of *predictions* must name a row together.
     """
     p = predictions.withWatermark("ts", prediction_delay).alias("p")
     f = (
@@ -131,79 +175,8 @@ def feedback_join(
     cond = F.expr(
         f"p.request_id = f.f_request_id AND f.arrival >= p.ts AND f.arrival <= p.ts + INTERVAL {within}"
     )
-    kept = [F.col(f"p.{c}") for c in predictions.columns if c not in ("ground_truth", "ground_truth_ts", "feedback_source")]
-    return p.join(f, cond, "left_outer").select(
-        *kept, F.col("f.ground_truth"), F.col("f.arrival").alias("ground_truth_ts"), F.col("f.feedback_source")
-    )
-
-
-# -- stateful trigger ------------------------------------------------------------
-
-TRIGGER_SCHEMA = T.StructType(
-    [
-        T.StructField("model", T.StringType()),
-        T.StructField("window_index", T.LongType()),
-        T.StructField("fired_rules", T.StringType()),
-        T.StructField("notified", T.BooleanType()),
-    ]
-)
-_STATE_SCHEMA = T.StructType([T.StructField("streaks", T.StringType()), T.StructField("last_fired", T.DoubleType())])
-
-
-def step_trigger(
-    streaks: dict[str, int], last_fired: float | None, row: dict, rules: Sequence[tuple], n: int, cooldown_s: float
-) -> tuple[dict[str, int], float | None, list[str], bool]:
-    """One window: new streaks, clock, rules at their n-th breach or beyond, and whether to notify."""
-    compare: dict[str, Callable] = {
-        ">=": lambda a, b: a >= b,
-        ">": lambda a, b: a > b,
-        "<=": lambda a, b: a <= b,
-        "<": lambda a, b: a < b,
-        "==": lambda a, b: a == b,
-    }
-    fresh = {}
-    for name, metric, op, threshold, _ in rules:
-        value = row.get(metric)
-        known = value is not None and float("-inf") < value < float("inf")
-        fresh[name] = streaks.get(name, 0) + 1 if known and compare[op](value, threshold) else 0
-    fired = sorted(r for r, k in fresh.items() if k >= n)
-    notify = bool(fired) and (last_fired is None or row["at"] - last_fired >= cooldown_s)
-    return fresh, row["at"] if notify else last_fired, fired, notify
-
-
-def _trigger_batch(rules: Sequence[tuple], n: int, cooldown_s: float):
-    """State update of one model for the windows that closed since the last batch."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, last = state.get if state.exists else ("", None)
-        streaks = {k: int(v) for k, v in (p.split("=") for p in text.split(";") if p)}
-        out = []
-        for row in pd.concat(list(frames)).sort_values("window_index").to_dict("records"):
-            streaks, last, fired, notify = step_trigger(streaks, last, row, rules, n, cooldown_s)
-            if fired:
-                out.append((key[0], int(row["window_index"]), ",".join(fired), notify))
-        state.update((";".join(f"{k}={v}" for k, v in streaks.items()), last))
-        yield pd.DataFrame(out, columns=TRIGGER_SCHEMA.names)
-
-    return update
-
-
-def stateful_trigger(
-    signals: DataFrame,
-    *,
-    rules: Sequence[tuple] = params.RULES,
-    n: int = params.RETRAINING["consecutive_windows"],
-    cooldown_hours: float = params.RETRAINING["cooldown_hours"],
-) -> DataFrame:
-    """Fired rules per window, with a cooldown between notifications.
-
-    State per model: a breach counter per rule and the time of the last notification.
-    *signals* streams ``(model, window_index, at, metrics...)``, ``at`` being epoch seconds.
-    """
-    return signals.groupBy("model").applyInPandasWithState(
-        _trigger_batch(list(rules), n, cooldown_hours * 3600.0),
-        TRIGGER_SCHEMA,
-        _STATE_SCHEMA,
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    names = [c for c in predictions.columns if c not in ("ground_truth", "ground_truth_ts", "feedback_source")]
+    label = F.struct(F.col("f.arrival").alias("ground_truth_ts"), F.col("f.ground_truth"), F.col("f.feedback_source"))
+    joined = p.join(f, cond, "left_outer").select(*[F.col(f"p.{c}") for c in names], label.alias("_label"))
+    last = joined.groupBy(*names).agg(F.max("_label").alias("_label"))
+    return last.select(*names, "_label.ground_truth", "_label.ground_truth_ts", "_label.feedback_source")

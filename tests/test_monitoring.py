@@ -12,6 +12,7 @@ from lineguard.functions import columns as C
 from lineguard.operators import drift, logs, monitor, policy, runs
 from lineguard.sources import tables
 from lineguard.streaming import jobs
+from lineguard.streaming.trigger import stateful_trigger, step_trigger
 
 
 def log_frame(spark, n=30, scenario="line"):
@@ -214,22 +215,36 @@ def test_best_epoch_matches_the_loop(spark):
 # -- streams ----------------------------------------------------------------------------
 
 
-def test_late_rows_leave_and_labels_join(spark, tmp_path):
+def test_last_label_wins_and_unlabelled_rows_leave_once(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     p = spark.createDataFrame([(i, t0 + dt.timedelta(hours=i)) for i in range(48)], "request_id int, ts timestamp")
-    f = spark.createDataFrame(
-        [(i, i % 2, t0 + dt.timedelta(hours=i + (2 if i % 3 else 30)), "x") for i in range(48)],
-        "request_id int, ground_truth int, arrival timestamp, source string",
-    )
+    at = lambda h: t0 + dt.timedelta(hours=h)
+    labels = [(i, i % 2, at(i + (2 if i % 3 else 30)), "line") for i in range(48)]  # every third label is too late
+    labels += [(i, 1 - i % 2, at(i + 5), "audit") for i in range(0, 48, 4)]  # corrections, and first labels of some
+    labels += [(i, i % 2, at(i + 11), "late") for i in range(0, 48, 5)] + [(900, 1, at(4), "stray")]
+    f = spark.createDataFrame(labels[::-1], "request_id int, ground_truth int, arrival timestamp, source string")
     p.write.parquet(f"{tmp_path}/p")
     f.write.parquet(f"{tmp_path}/f")
     joined = jobs.feedback_join(
         spark.readStream.schema(p.schema).parquet(f"{tmp_path}/p"), spark.readStream.schema(f.schema).parquet(f"{tmp_path}/f"), within="10 hours"
     )
-    got = {r["request_id"]: r["ground_truth"] for r in jobs.run_to_table(joined, "joined").collect()}
-    assert {k for k, v in got.items() if v is not None} == {i for i in range(48) if i % 3}
-    # Unlabelled rows appear once both watermarks have passed their interval.
-    assert 0 in got and got[0] is None
+    rows = [(r["request_id"], r["ground_truth"], r["feedback_source"]) for r in jobs.run_to_table(joined, "joined").collect()]
+    want = []
+    for i in range(36):  # the prediction watermark stands at hour 46
+        mine = [x for x in labels if x[0] == i and x[2] <= at(i + 10)]
+        last = max(mine, key=lambda x: x[2], default=(i, None, None, None))
+        want.append((i, last[1], last[3]))
+    assert sorted(rows) == want and any(y is None for _, y, _ in want) and any(s == "audit" for *_, s in want)
+
+
+def test_a_replayed_batch_adds_nothing(spark, tmp_path):
+    spark.range(20).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: jobs.run_by_batch(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), "rows", path=f"{tmp_path}/out")
+    assert run().count() == 20
+    spark.range(20, 30).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run().where("batch = 1").count() == 10
+    jobs.write_batch(spark.range(20, 30), 1, f"{tmp_path}/out")
+    assert sorted(r["id"] for r in run().collect()) == list(range(30))
 
 
 def test_trigger_replays_like_the_batch_rule():
@@ -237,24 +252,35 @@ def test_trigger_replays_like_the_batch_rule():
     rows = [{"psi_max": v, "at": 3600.0 * i} for i, v in enumerate([0.3, 0.1, 0.3, 0.3, 0.3, float("nan"), 0.4, 0.4])]
     streaks, last, fired, notified = {}, None, [], []
     for i, row in enumerate(rows):
-        streaks, last, names, note = jobs.step_trigger(streaks, last, row, rules, 2, 2 * 3600.0)
+        streaks, last, names, note = step_trigger(streaks, last, row, rules, 2, 2 * 3600.0)
         fired += [i] if names else []
         notified += [i] if note else []
     assert fired == [3, 4, 7] and notified == [3, 7]
 
 
-def test_stateful_trigger_keeps_state_between_batches(spark, tmp_path):
-    def batch(lo, hi):
-        rows = spark.range(lo, hi).select(
-            F.lit("m").alias("model"), F.col("id").alias("window_index"), (F.col("id") * 3600.0).alias("at"),
-            F.when(F.col("id") >= 2, 0.3).otherwise(0.0).alias("psi_max"),
-        )
-        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        return rows.schema
-
-    schema = batch(0, 3)
+def test_stateful_trigger_orders_windows_over_batches_and_restarts(spark, tmp_path):
+    values = [0.0, 0.0, 0.3, 0.3, 0.3, 0.3, 0.0, 0.3, float("nan"), 0.3, 0.3, 0.3, 0.3]
+    schema = "model string, window_index long, at double, psi_max double"
     out = f"{tmp_path}/out"
-    run = lambda: jobs.run_to_table(jobs.stateful_trigger(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), cooldown_hours=2), "t", path=out)
-    assert run().count() == 0
-    batch(3, 6)
-    assert sorted((r["window_index"], r["notified"]) for r in run().collect()) == [(3, True), (4, False), (5, True)]
+
+    def arrive(*windows):
+        rows = [(m, i, i * 3600.0, values[i]) for i in windows for m in ("a", "b")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        fired = jobs.run_to_table(stateful_trigger(stream, cooldown_hours=2, delay="3 hours"), "t", path=out, keyed_state=True)
+        got = sorted((r["model"], r["window_index"], r["fired_rules"], r["notified"]) for r in fired.collect())
+        assert [g[1:] for g in got if g[0] == "a"] == [g[1:] for g in got if g[0] == "b"]
+        return [g[1:] for g in got if g[0] == "a"]
+
+    assert arrive(2, 0, 1) == []
+    assert arrive(4, 3) == []  # the watermark stands at window 1
+    arrive(6, 5, 4)  # window 4 again, while it waits
+    arrive(9, 7, 8)
+    arrive(3)  # long released: late
+    last = arrive(12, 11, 10)
+    streaks, clock, want = {}, None, []
+    for i in range(10):
+        row = {"psi_max": values[i], "at": i * 3600.0}
+        streaks, clock, names, note = step_trigger(streaks, clock, row, params.RULES, params.RETRAINING["consecutive_windows"], 7200.0)
+        want += [(i, ",".join(names), note)] if names else []
+    assert last == want and [w[0] for w in want] == [3, 4, 5]
