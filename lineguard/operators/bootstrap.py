@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lineguard import params
-from lineguard.operators.metrics import confusion_counts, metrics_from_ranked, score_counts
-from lineguard.operators.ordered import running_sums
+from lineguard.operators.metrics import confusion_counts, score_counts, score_rows
+from lineguard.operators.ordered import cut_points, default_parts, null_safe_join, range_number
+from lineguard.session import stage
 
 CELL_BOOTSTRAP = ("f1", "recall", "precision", "accuracy")
 
@@ -33,39 +34,6 @@ def _draw_metrics(cells: np.ndarray, metric: str) -> np.ndarray:
     return safe(2 * tp, 2 * tp + fp + fn)
 
 
-def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
-    """Uniforms in (0, 1) from 64-bit keys, by the splitmix finaliser."""
-    with np.errstate(over="ignore"):
-        z = keys.astype(np.uint64) + np.uint64(salt + 1) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z = z ^ (z >> np.uint64(31))
-    return ((z >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
-
-
-def _poisson(mean: np.ndarray, keys: np.ndarray, salt: int, normal_from: int = 64) -> np.ndarray:
-    """Poisson draws by inversion; large means use the normal limit."""
-    mean = mean.astype(float)
-    u = _uniform(keys, 2 * salt)
-    out = np.zeros(len(mean), dtype=np.int64)
-    small = mean < normal_from
-    term = np.exp(-np.where(small, mean, 0.0))
-    total, k = term.copy(), 0
-    open_rows = small & (u > total)
-    while open_rows.any() and k < 4 * normal_from + 64:
-        k += 1
-        term = term * mean / k
-        total = total + term
-        out[open_rows] = k
-        open_rows = open_rows & (u > total)
-    big = ~small
-    if big.any():
-        v = _uniform(keys[big], 2 * salt + 1)
-        normal = np.sqrt(-2.0 * np.log(u[big])) * np.cos(2.0 * np.pi * v)
-        out[big] = np.maximum(0, np.rint(mean[big] + np.sqrt(mean[big]) * normal)).astype(np.int64)
-    return out
-
-
 def bootstrap_cells(
     df: DataFrame,
     by: Sequence[str],
@@ -119,6 +87,62 @@ def bootstrap_cells(
     return cells.mapInPandas(draw, schema)
 
 
+RANKED_BOOTSTRAP = ("roc_auc", "average_precision", "brier", *CELL_BOOTSTRAP)
+#: Scores that are weighted at once.
+_TOGETHER = 512
+
+
+def _replicates(pos: np.ndarray, neg: np.ndarray, keys: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of some scores, one row each: column 0 has the counts, the others a Poisson draw of them per replicate.
+
+    Each row draws from a counter-based stream of its own key, so weights depend on no batch or task.
+    """
+    out = np.empty((2, len(pos), n + 1))
+    for i, (a, b, k) in enumerate(zip(pos, neg, keys)):
+        rng = np.random.Generator(np.random.Philox(key=[int(k) & 0xFFFFFFFFFFFFFFFF, seed]))
+        out[0, i, 0], out[1, i, 0] = a, b
+        out[0, i, 1:], out[1, i, 1:] = rng.poisson(a, n), rng.poisson(b, n)
+    return out[0], out[1]
+
+
+class _RangeSums:
+    """Vector-valued sums of one (group, range): an entry per replicate, scores added in rising order."""
+
+    NAMES = ("pos", "neg", "won", "tp", "fp", "squares")
+
+    def __init__(self, n: int, seed: int, threshold: float):
+        self.n, self.seed, self.threshold = n, seed, threshold
+        self.sums = {k: np.zeros(n + 1) for k in self.NAMES}
+
+    def add(self, score: np.ndarray, pos: np.ndarray, neg: np.ndarray, keys: np.ndarray) -> None:
+        p, q = _replicates(pos, neg, keys, self.n, self.seed)
+        s = self.sums
+        below = s["neg"] + np.cumsum(q, axis=0) - q / 2
+        s["won"] += (p * below).sum(axis=0)
+        s["pos"] += p.sum(axis=0)
+        s["neg"] += q.sum(axis=0)
+        hit = score >= self.threshold
+        s["tp"] += p[hit].sum(axis=0)
+        s["fp"] += q[hit].sum(axis=0)
+        s["squares"] += ((score - 1.0) ** 2) @ p + (score**2) @ q
+
+
+def _metric(name: str, s: dict[str, np.ndarray], found: np.ndarray | None) -> np.ndarray:
+    """One value per replicate from a group's sums; NaN where only one class was drawn."""
+    pos, neg = s["pos"], s["neg"]
+    both = (pos > 0) & (neg > 0)
+    one = np.where(both, pos * neg, 1.0)
+    if name == "roc_auc":
+        out = s["won"] / one
+    elif name == "average_precision":
+        out = found / np.where(both, pos, 1.0)
+    elif name == "brier":
+        out = s["squares"] / np.where(both, pos + neg, 1.0)
+    else:
+        out = _draw_metrics(np.stack([s["tp"], s["fp"], pos - s["tp"], neg - s["fp"]], axis=1), name)
+    return np.where(both, out, np.nan)
+
+
 def bootstrap_ranked(
     df: DataFrame,
     by: Sequence[str],
@@ -131,31 +155,100 @@ def bootstrap_ranked(
     alpha: float = 0.05,
     seed: int = params.SEED,
 ) -> DataFrame:
-    """The same interval for rank metrics, by a Poisson bootstrap over score counts.
+    """``(by..., point, lo, hi, n_bootstrap)`` for rank metrics too, by a Poisson bootstrap over score counts.
 
-    A count of c equal rows gets a Poisson(c) weight, as if each row drew Poisson(1); every
-    replicate is then one more group of the ordinary metric job.
+    A count of c equal rows gets a Poisson(c) weight, as if each row drew Poisson(1). The weights of all replicates
+    are a vector that never leaves its task: scores are dealt to ranges once, each (group, range) is added up in
+    score order to a few vectors, and only these are combined. Average precision takes a second pass, as precision
+    in a range depends on all higher ranges. Replicates with one class are skipped; a group with one class has nulls.
     """
+    if metric not in RANKED_BOOTSTRAP:
+        raise ValueError(f"{metric!r} has no ranked bootstrap")
     by = list(by)
     counts = score_counts(df, by, score, label)
-    reps = counts.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("replicate"))
-    columns = [*by, "replicate", "score", "pos", "neg"]
-    reps = reps.select(*columns)
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cuts = cut_points(score_rows(df, score, label), ["score"], ["score"], default_parts(df))
+    ranged = counts.select(*by, range_number(["score"], cuts).alias("_range"), "score", "pos", "neg", F.xxhash64(*by, "score").alias("_key"))
+    key = [*by, "_range"]
+    dealt = ranged.repartition(*key).sortWithinPartitions(*key, "score")
+    keys_schema = [ranged.schema[c] for c in key]
+    vector = T.ArrayType(T.DoubleType())
+    sums_schema = T.StructType([*keys_schema, *[T.StructField(c, vector) for c in _RangeSums.NAMES]])
+
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, sums = None, None
+        row = lambda: _one_row([*at, *sums.sums.values()], sums_schema)
         for pdf in batches:
-            # Draws depend on the row itself, not on the batch or task it lands in.
-            keys = pd.util.hash_pandas_object(pdf[[*by, "replicate", "score"]], index=False).to_numpy()
-            pos = _poisson(pdf["pos"].to_numpy(), keys, seed)
-            yield pdf.assign(pos=pos, neg=_poisson(pdf["neg"].to_numpy(), keys, seed + 1))
-
-    weighted = reps.mapInPandas(weigh, reps.schema)
-    weighted = weighted.where(F.col("pos") + F.col("neg") > 0)
-    ranked = running_sums(weighted, [*by, "replicate"], ["score"], ["pos", "neg"])
-    values = metrics_from_ranked(ranked, [*by, "replicate"], F.lit(float(threshold)))
-    # At most n_samples values per group.
-    ends = F.percentile(metric, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    agg = values.where(F.col(metric).isNotNull()).groupBy(*by).agg(
-        ends.alias("_q"), F.count(F.lit(1)).alias("n_bootstrap")
+            for here, part in pdf.groupby(key, sort=False, dropna=False):
+                if here != at and sums is not None and not _same(here, at):
+                    yield row()
+                    sums = None
+                if sums is None:
+                    at, sums = here, _RangeSums(n_samples, seed, threshold)
+                for lo in range(0, len(part), _TOGETHER):
+                    some = part.iloc[lo : lo + _TOGETHER]
+                    sums.add(*(some[c].to_numpy() for c in ("score", "pos", "neg", "_key")))
+        if sums is not None:
+            yield row()
+
+    per_range = dealt.mapInPandas(totals, sums_schema)
+    found_schema = T.StructType([*keys_schema, T.StructField("found", vector)])
+    if metric == "average_precision":
+        above_schema = T.StructType([*keys_schema, T.StructField("tp_above", vector), T.StructField("fp_above", vector)])
+        per_range = stage(per_range, "range-sums")
+
+        def above(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_range", ascending=False)
+            out = pdf[key].copy()
+            for name, column in (("tp_above", "pos"), ("fp_above", "neg")):
+                v = np.stack(pdf[column])
+                out[name] = list(np.cumsum(v, axis=0) - v)
+            return out
+
+        def precision(own: pd.DataFrame, higher: pd.DataFrame) -> pd.DataFrame:
+            tp, fp = (np.array(higher[c].iloc[0]) for c in ("tp_above", "fp_above"))
+            found = np.zeros(n_samples + 1)
+            own = own.sort_values("score", ascending=False)
+            for lo in range(0, len(own), _TOGETHER):
+                some = own.iloc[lo : lo + _TOGETHER]
+                p, q = _replicates(some["pos"].to_numpy(), some["neg"].to_numpy(), some["_key"].to_numpy(), n_samples, seed)
+                tp_here, fp_here = tp + np.cumsum(p, axis=0), fp + np.cumsum(q, axis=0)
+                all_here = tp_here + fp_here
+                found += (p * tp_here / np.where(all_here > 0, all_here, 1.0)).sum(axis=0)
+                tp, fp = tp_here[-1], fp_here[-1]
+            return _one_row([*higher[key].iloc[0], found], found_schema)
+
+        offsets = per_range.groupBy(*by).applyInPandas(above, above_schema)
+        found = ranged.groupBy(*key).cogroup(offsets.groupBy(*key)).applyInPandas(precision, found_schema)
+        per_range = null_safe_join(per_range, found, key)
+    out_schema = T.StructType(
+        [ranged.schema[c] for c in by]
+        + [T.StructField(c, T.DoubleType()) for c in ("point", "lo", "hi")]
+        + [T.StructField("n_bootstrap", T.LongType())]
     )
-    return agg.select(*by, F.get("_q", 0).alias("lo"), F.get("_q", 1).alias("hi"), "n_bootstrap")
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        # A row per range of the group: offsets of the ranges below turn pairs won inside into pairs won in all.
+        pdf = pdf.sort_values("_range")
+        v = {c: np.stack(pdf[c]) for c in _RangeSums.NAMES}
+        below = np.cumsum(v["neg"], axis=0) - v["neg"]
+        sums = {c: x.sum(axis=0) for c, x in v.items()}
+        sums["won"] = (v["won"] + v["pos"] * below).sum(axis=0)
+        found = np.stack(pdf["found"]).sum(axis=0) if "found" in pdf else None
+        values = _metric(metric, sums, found)
+        drawn = values[1:][~np.isnan(values[1:])]
+        lo, hi = np.percentile(drawn, [100 * alpha / 2, 100 * (1 - alpha / 2)]) if len(drawn) else (None, None)
+        point = None if np.isnan(values[0]) else values[0]
+        return _one_row([*(pdf[c].iloc[0] for c in by), point, lo, hi, len(drawn)], out_schema)
+
+    return per_range.groupBy(*by).applyInPandas(combine, out_schema)
+
+
+def _one_row(values: list, schema: T.StructType) -> pd.DataFrame:
+    """A frame of one row; a missing value of any kind is None."""
+    cells = [None if np.ndim(v) == 0 and pd.isna(v) else v for v in values]
+    return pd.DataFrame({name: pd.Series([v], dtype=object) for name, v in zip(schema.names, cells)})
+
+
+def _same(a: tuple, b: tuple) -> bool:
+    """Equal keys, missing values equal to each other."""
+    return all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))

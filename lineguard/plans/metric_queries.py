@@ -150,6 +150,24 @@ def agg26_auc(spark, sf):
     return bootstrap.bootstrap_ranked(X.preds(spark, sf), BY, P, Y, "roc_auc")
 
 
+@register(
+    "agg26_bootstrap_properties",
+    "ranked",
+    f"""SELECT scenario, {r("sum(pos * (neg_below + neg / 2.0::double)) / (max(n_pos)::double * max(n_neg))")} AS roc_auc,
+    {r("sum(pos * (tp / (tp + fp)::double)) / max(n_pos)::double")} AS average_precision, 500::bigint AS n_auc, 500::bigint AS n_ap, true AS inside, true AS narrow
+    FROM ranked GROUP BY 1 HAVING max(n_pos) > 0 AND max(n_neg) > 0""",
+)
+def agg26_properties(spark, sf):
+    """Intervals of both rank metrics: around the point, 500 draws each, and of a width that the counts explain."""
+    auc, ap = (bootstrap.bootstrap_ranked(X.preds(spark, sf), BY, P, Y, m).where("point IS NOT NULL") for m in ("roc_auc", "average_precision"))
+    both = auc.alias("a").join(ap.alias("b"), "scenario")
+    return both.select(
+        "scenario", F.col("a.point").alias("roc_auc"), F.col("b.point").alias("average_precision"), F.col("a.n_bootstrap").alias("n_auc"),
+        F.col("b.n_bootstrap").alias("n_ap"), F.expr("a.lo <= a.point AND a.point <= a.hi AND b.lo <= b.point AND b.point <= b.hi").alias("inside"),
+        F.expr("a.lo < a.hi AND a.hi - a.lo < 0.5 AND b.lo < b.hi AND b.hi - b.lo < 0.6").alias("narrow"),
+    )
+
+
 @register(
     "win6_running_sums",
     "scored",

@@ -108,6 +108,40 @@ def test_bootstrap_auc_brackets_and_repeats(beta):
     assert a["lo"] <= naive_auc(y, p) <= a["hi"] and a["lo"] == pytest.approx(b["lo"], abs=1e-12)
 
 
+@pytest.mark.parametrize("metric", ["roc_auc", "average_precision", "brier", "f1"])
+def test_bootstrap_ranked_equals_weighted_metrics(spark, monkeypatch, metric):
+    """Each replicate is the metric of the same rows with the weights that the operator draws."""
+    monkeypatch.setattr(bootstrap, "_TOGETHER", 7)
+    rng = np.random.default_rng(4)
+    y, p = rng.integers(0, 2, 900), np.round(rng.random(900), 2)
+    df = frame(spark, y, p).withColumn("g", F.when(F.col("p") < 2, F.lit(None).cast("string"))).repartition(4)
+    row = bootstrap.bootstrap_ranked(df, ["g"], "p", "y", metric, n_samples=40).collect()
+    assert len(row) == 1 and row[0]["n_bootstrap"] == 40
+    counts = metrics.score_counts(df, ["g"], "p", "y").withColumn("k", F.xxhash64("g", "score")).orderBy("score").toPandas()
+    a, b = bootstrap._replicates(*(counts[c].to_numpy() for c in ("pos", "neg", "k")), 40, 42)
+    s, values = counts["score"].to_numpy(), []
+    for j in range(41):
+        yy = np.concatenate([np.ones(int(a[:, j].sum())), np.zeros(int(b[:, j].sum()))])
+        pp = np.concatenate([np.repeat(s, a[:, j].astype(int)), np.repeat(s, b[:, j].astype(int))])
+        if metric == "roc_auc":
+            v = naive_auc(yy.tolist(), pp.tolist())
+        elif metric == "average_precision":
+            v = sum((yy[pp == t].sum() / yy.sum()) * yy[pp >= t].mean() for t in np.unique(pp))
+        elif metric == "brier":
+            v = np.mean((pp - yy) ** 2)
+        else:
+            v = scores(yy, pp, 0.5)[2]
+        values.append(v)
+    want = [values[0], *np.percentile(values[1:], [2.5, 97.5])]
+    np.testing.assert_allclose([row[0][c] for c in ("point", "lo", "hi")], want, rtol=1e-9)
+
+
+def test_bootstrap_ranked_of_one_class_and_of_nothing(spark):
+    row = bootstrap.bootstrap_ranked(frame(spark, [1, 1], [0.1, 0.9]), [], "p", "y", n_samples=20).first()
+    assert row["point"] is None and row["n_bootstrap"] == 0
+    assert bootstrap.bootstrap_ranked(frame(spark, [], []), [], "p", "y").collect() == []
+
+
 def test_class_weights(spark):
     df = spark.createDataFrame([(0,)] * 30 + [(1,)] * 10, "label int")
     w = {r["label"]: r["weight"] for r in metrics.class_weights(df, "label", 2).collect()}
