@@ -19,6 +19,11 @@ def content_sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def _scan_place(order: Sequence[str]) -> Column:
+    """Sorts like the columns of *order*, nulls last: a copy with a class goes before one without."""
+    return F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])
+
+
 def flag_later_copies(
     df: DataFrame, key: str, name: str, *, order: Sequence[str] = SCAN_ORDER, row_id: str = "relpath"
 ) -> DataFrame:
@@ -27,7 +32,7 @@ def flag_later_copies(
     The first rows are found per key, then matched on the unique ``row_id``, so the
     join key is never hot.
     """
-    firsts = df.groupBy(key).agg(F.min_by(row_id, F.struct(*order)).alias(row_id)).select(
+    firsts = df.groupBy(key).agg(F.min_by(row_id, _scan_place(order)).alias(row_id)).select(
         row_id, F.lit(False).alias(name)
     )
     return df.join(firsts, row_id, "left").withColumn(name, F.coalesce(name, F.lit(True)))
@@ -37,7 +42,7 @@ def drop_exact_duplicates(
     df: DataFrame, key: str = "sha256", *, order: Sequence[str] = SCAN_ORDER
 ) -> DataFrame:
     """Keep the first row of each key in scan order."""
-    kept = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    kept = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), _scan_place(order)).alias("_row"))
     return kept.select("_row.*")
 
 

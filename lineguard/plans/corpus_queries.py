@@ -95,8 +95,7 @@ def src4(spark, sf):
 
 @register("dup1_content_sha256", "scan_docs", "SELECT relpath, sha256 FROM scan_docs")
 def dup1(spark, sf):
-    docs = X.table(spark, sf, "documents").join(X.table(spark, sf, "labels").select("doc_id"), "doc_id")
-    return docs.select(
+    return X.table(spark, sf, "documents").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("relpath"),
         duplicates.content_sha256(F.col("text")).alias("sha256"),
     )

@@ -143,19 +143,19 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A corpus scan of the labelled documents, over whole texts.
+    """A corpus scan of all documents, over whole texts; documents without a label have no class.
 
     Like an image scan it is stored once; every later stage reads the stored table.
     """
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").repartition("doc_id")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").repartition("doc_id")
     space = "[ \\t\\n\\r\\f]+"
     words = F.regexp_count("text", F.lit("[^ \\t\\n\\r\\f]+"))
     solid = F.length(F.regexp_replace("text", space, ""))
     digits = F.length(F.regexp_replace("text", "[^0-9]", ""))
     rows = docs.select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("relpath"),
-        F.when(F.col("quality") == 1, "ok").otherwise("defect").alias("class_name"),
-        F.when(F.col("quality") == 1, 0).otherwise(1).alias("label"),
+        F.when(F.col("quality") == 1, "ok").when(F.col("quality").isNotNull(), "defect").alias("class_name"),
+        F.when(F.col("quality") == 1, 0).when(F.col("quality").isNotNull(), 1).alias("label"),
         F.col("n_chars").cast("bigint").alias("file_bytes"),
         words.cast("bigint").alias("width"),
         (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("height"),

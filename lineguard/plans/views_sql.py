@@ -149,7 +149,7 @@ _view(
     f"""
 SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::bigint % 72 AS cell, count(*) AS n
 FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS t
-      FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+      FROM documents)
 GROUP BY 1, 2""",
 )
 _view(
@@ -159,7 +159,7 @@ _view(
 SELECT d.doc_id, string_agg(lpad(lower(to_hex(b)), 2, '0'), '' ORDER BY i) AS dhash FROM (
   SELECT doc_id, i, sum(CASE WHEN coalesce(hi, 0) > coalesce(lo, 0) THEN (128 >> j) ELSE 0 END)::bigint AS b FROM (
     SELECT d.doc_id, g.i, g.j, a.n AS lo, c.n AS hi
-    FROM (SELECT DISTINCT doc_id FROM labels) d
+    FROM (SELECT DISTINCT doc_id FROM documents) d
     CROSS JOIN (SELECT i, j FROM range(8) a(i), range(8) b(j)) g
     LEFT JOIN doc_cells a ON a.doc_id = d.doc_id AND a.cell = g.i * 9 + g.j
     LEFT JOIN doc_cells c ON c.doc_id = d.doc_id AND c.cell = g.i * 9 + g.j + 1)
@@ -169,14 +169,14 @@ _view(
     "doc_stats",
     "doc_keys",
     f"""
-SELECT 'doc_' || d.doc_id AS relpath, d.doc_id, CASE WHEN l.quality = 1 THEN 'ok' ELSE 'defect' END AS class_name,
-  CASE WHEN l.quality = 1 THEN 0 ELSE 1 END AS label, d.n_chars::bigint AS file_bytes,
+SELECT 'doc_' || d.doc_id AS relpath, d.doc_id, CASE WHEN l.quality = 1 THEN 'ok' WHEN l.quality IS NOT NULL THEN 'defect' END AS class_name,
+  CASE WHEN l.quality = 1 THEN 0 WHEN l.quality IS NOT NULL THEN 1 END AS label, d.n_chars::bigint AS file_bytes,
   len(regexp_extract_all(d.text, '{_SOLID}'))::bigint AS width,
   (length(d.text) - length(replace(d.text, chr(10), '')) + 1)::bigint AS height,
   sha256(d.text) AS sha256, k.dhash, d.lang, d.n_chars::double AS n_chars,
   length(regexp_replace(d.text, '{_SPACE}', '', 'g'))::double AS solid,
   length(regexp_replace(d.text, '[^0-9]', '', 'g'))::double AS digits
-FROM documents d JOIN labels l USING (doc_id) JOIN doc_keys k USING (doc_id)""",
+FROM documents d LEFT JOIN labels l USING (doc_id) JOIN doc_keys k USING (doc_id)""",
 )
 _view(
     "doc_features",
