@@ -30,10 +30,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likenesses."""
     return fingerprints.fingerprint_edits(load(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from the labelled documents that are not held out."""
     docs = load(spark, sf_dir, "documents")
     net = toxicity.learn(docs, load(spark, sf_dir, "labels"), remainder(F.col("id"), 5) != 0)
     scored = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), toxicity.score(net, F.col("text")).alias("score"))
@@ -41,11 +43,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document its topic, tokens, calibrated probability and whether it is drawn."""
     mixed = mixing.mix(load(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact token counts of every document and how much of it fits the limit."""
     answer = token_counts.truncation(F.col("text"), public_tokenizers.path("word_bpe_49k.json"), 2048)
     docs = load(spark, sf_dir, "documents").select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), answer.alias("answer")
@@ -54,15 +58,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-duplicate vectors within a label."""
     return vectors.near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and its component of near-duplicates."""
     found = simhash.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint_bits")).alias("fingerprint"), "component_id")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, normalised and read back."""
     return warc.round_trip(load(spark, sf_dir, "pages"))
 
 
@@ -97,6 +104,7 @@ def listed_changes(pages: DataFrame) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every page the list entries in force on the day it was fetched."""
     pages = load(spark, sf_dir, "pages")
     fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(365)).cast("int"))
     captures = pages.select("page_id", "url", fetched.alias("fetched"))
@@ -111,7 +119,7 @@ WITH captures AS (
     FROM pages
 ), suffixes AS (
     SELECT DISTINCT host, array_to_string(string_split(host, '.')[-k:], '.') AS rule
-    FROM captures, unnest(range(1, least(len(string_split(host, '.')), 8) + 1)) AS u(k) WHERE host <> ''
+    FROM captures, unnest(range(1, len(string_split(host, '.')) + 1)) AS u(k) WHERE host <> ''
 ), b AS (
     SELECT DISTINCT rule, [('0x' || substr(md5(rule), 2 * i + 1, 2))::INT FOR i IN range(6)] AS d FROM suffixes WHERE rule LIKE '%.%.%'
 ), c AS (
@@ -134,10 +142,12 @@ FROM captures LEFT JOIN hits USING (page_id)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document and their places in sequences of 2048 tokens."""
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learned from those that are not held out."""
     docs = load(spark, sf_dir, "documents")
     model = language.learn(docs, remainder(F.col("doc_id"), 4) != 2)
     scored = docs.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), language.predict(model, F.col("text")).alias("p"))

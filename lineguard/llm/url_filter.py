@@ -66,7 +66,7 @@ def active_entries(captures: DataFrame, entries: DataFrame, url_col: str = "url"
     none = F.array().cast("array<string>")
     return joined.select(
         *[keyed[c] for c in keyed.columns],
-        F.coalesce("__hits", F.lit(0)).cast("long").alias(names["hits"]),
-        F.coalesce("__lists", none).alias(names["lists"]),
-        F.col("__hits").isNotNull().alias(names["blocked"]),
+        F.coalesce(hits["__hits"], F.lit(0)).cast("long").alias(names["hits"]),
+        F.coalesce(hits["__lists"], none).alias(names["lists"]),
+        hits["__hits"].isNotNull().alias(names["blocked"]),
     )

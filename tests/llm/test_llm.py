@@ -257,6 +257,10 @@ def test_hosts_of_many_labels_are_looked_up_whole(spark):
     entries = url_filter.intervals(changes.withColumn("day", F.col("day").cast("date")))
     got = {r["k"]: r["lists"] for r in url_filter.active_entries(df, entries).collect()}
     assert got == {1: ["ads", "bad"], 2: ["bad"], 3: ["ads", "bad"], 4: []}
+    clash = df.withColumns({c: F.lit("x") for c in ("__hits", "__lists", "__host", "__day", "hits", "salt", "rule")})
+    doubled = url_filter.active_entries(clash.unionByName(clash), entries)
+    assert sorted((r["k"], r["lists"]) for r in doubled.collect()) == sorted([*got.items()] * 2)
+    assert url_filter.active_entries(df.limit(0), entries).collect() == []
 
 
 # -- packing
