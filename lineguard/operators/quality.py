@@ -71,10 +71,6 @@ def quarantine_report(scan: DataFrame, rows: int = params.QUARANTINE_REPORT_ROWS
 # -- corpus checks -------------------------------------------------------------
 
 
-def _pct(c: Column) -> Column:
-    return _text(fixed_text(c * 100.0, 2), "%")
-
-
 def corpus_totals(scan: DataFrame, classes: Sequence[str] = params.CLASSES) -> DataFrame:
     """One row: files, rejects and valid rows per configured class (absent = 0)."""
     valid = F.col("is_valid")
@@ -85,14 +81,17 @@ def corpus_totals(scan: DataFrame, classes: Sequence[str] = params.CLASSES) -> D
     )
 
 
-def _check(name: str, status: Column, sev: str, message: Column, details: dict[str, Column]) -> Column:
+def _message(details: Column) -> Column:
+    """The details as text, by name: ``limit=0.02, ratio=0.01``."""
+    entries = F.array_sort(F.transform(F.map_entries(details), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("none")))))
+    return F.array_join(entries, ", ")
+
+
+def _check(name: str, status: Column, sev: str, details: dict[str, Column]) -> Column:
     pairs = [x for k, v in details.items() for x in (F.lit(k), v.cast("string"))]
+    shown = F.create_map(*pairs)
     return F.struct(
-        F.lit(name).alias("name"),
-        status.alias("status"),
-        F.lit(sev).alias("severity"),
-        message.alias("message"),
-        F.create_map(*pairs).alias("details"),
+        F.lit(name).alias("name"), status.alias("status"), F.lit(sev).alias("severity"), _message(shown).alias("message"), shown.alias("details")
     )
 
 
@@ -112,29 +111,23 @@ def count_checks(
     least, most = F.least(*counts), F.greatest(*counts)
     imbalance = F.when(least > 0, most / least.cast("double"))
     bound = float(rules["max_class_imbalance_ratio"])
-    short = F.concat_ws(", ", *[F.when(c < need, _text(f"{n}=", c)) for n, c in zip(classes, counts)])
     checks = F.array(
         _check(
             "corrupt_file_ratio",
             _status(bad <= limit, "FAIL"),
             "error",
-            _text(F.col("n_bad"), "/", F.col("n_total"), " files quarantined (", _pct(bad), f"), limit {limit:.2%}"),
-            {"quarantined": F.col("n_bad"), "ratio": F.round(bad, 5), "limit": F.lit(limit)},
+            {"quarantined": F.col("n_bad"), "total": F.col("n_total"), "ratio": F.round(bad, 5), "limit": F.lit(limit)},
         ),
         _check(
             "min_images_per_class",
             _status(least >= need, "FAIL"),
             "error",
-            F.when(least >= need, F.lit(f"every class has at least {need} valid images")).otherwise(
-                _text("too few images: ", short)
-            ),
             {**dict(zip(classes, counts)), "minimum": F.lit(need)},
         ),
         _check(
             "class_imbalance",
             _status(F.coalesce(imbalance <= bound, F.lit(False)), "WARN"),
             "warning",
-            _text("largest/smallest class = ", F.coalesce(fixed_text(imbalance, 2), F.lit("inf")), f", limit {bound:.2f}"),
             {"ratio": F.round(imbalance, 4), "limit": F.lit(bound)},
         ),
     )
@@ -152,14 +145,12 @@ def duplicate_checks(valid: DataFrame, rules: dict = params.CORPUS_RULES) -> Dat
             "exact_duplicate_ratio",
             _status(exact <= limit, "FAIL"),
             "error",
-            _text(F.col("n_exact"), " exact duplicates (", _pct(exact), f"), limit {limit:.2%}"),
             {"duplicates": F.col("n_exact"), "ratio": F.round(exact, 5), "limit": F.lit(limit)},
         ),
         _check(
             "near_duplicate_ratio",
             _status(near <= limit, "WARN"),
             "warning",
-            _text(F.col("n_near_only"), " near duplicates (", _pct(near), ")"),
             {"near_duplicates": F.col("n_near_only"), "ratio": F.round(near, 5), "limit": F.lit(limit)},
         ),
     )
@@ -196,14 +187,11 @@ def leakage_check(
     leaks = applies & (F.col("effect_size") > bound)
     entry = F.when(leaks, F.struct("feature", F.round("effect_size", 3).cast("string").alias("d")))
     agg = effect_sizes(valid, features).agg(F.array_sort(F.collect_list(entry)).alias("leaks"))
-    text = F.array_join(F.transform("leaks", lambda x: F.concat_ws("=", x["feature"], x["d"])), ", ")
     return agg.select(
         F.lit("global_statistic_leakage").alias("name"),
         _status(F.size("leaks") == 0, "WARN").alias("status"),
         F.lit("warning").alias("severity"),
-        F.when(F.size("leaks") == 0, F.lit("no single statistic separates the classes"))
-        .otherwise(_text(f"effect size above {bound:.0f}: ", text))
-        .alias("message"),
+        _message(F.map_from_entries("leaks")).alias("message"),
         F.map_from_entries("leaks").alias("details"),
     )
 
@@ -226,7 +214,7 @@ def resolution_check(valid: DataFrame, top: int = 5) -> DataFrame:
         F.lit("resolution_consistency").alias("name"),
         _status(F.col("n_shapes") <= 1, "WARN").alias("status"),
         F.lit("warning").alias("severity"),
-        _text(F.col("n_shapes"), " distinct resolution(s)").alias("message"),
+        F.concat(F.lit("shapes="), F.col("n_shapes").cast("string")).alias("message"),
         F.map_from_entries("t").alias("details"),
     )
 

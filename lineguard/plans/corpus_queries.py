@@ -227,7 +227,7 @@ def agg7(spark, sf):
         wh[0].cast("bigint").alias("width"),
         wh[1].cast("bigint").alias("height"),
         F.col("e.value").cast("bigint").alias("n"),
-        F.regexp_extract("message", r"^(\d+)", 1).cast("bigint").alias("n_shapes"),
+        F.regexp_extract("message", r"(\d+)$", 1).cast("bigint").alias("n_shapes"),
     )
 
 

@@ -30,11 +30,13 @@ def local_session(
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for one written table or stream.
 
-    Lives under ``spark.checkpoint.dir``, the storage every executor sees. Where that is unset the
-    warehouse folder, which executors share as well, takes its place.
+    Lives under ``spark.checkpoint.dir``, the storage every executor sees. A session on one machine may leave it
+    unset and uses its warehouse folder; a cluster may not, as its executors need not share that folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset; name a folder that all executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lineguard-work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
