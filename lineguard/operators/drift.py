@@ -395,22 +395,22 @@ def align_categories(current: DataFrame, reference_counts: DataFrame) -> DataFra
 
 def chi_square_columns(
     n_cur: Column, matched_ref: Column, ref_part: Column, cur_part: Column,
-    k_matched: Column, k_current: Column, one: Column, reference_mix: dict[str, int],
+    k_matched: Column, k_current: Column, one: Column, ref_total: Column, ref_kinds: Column,
 ) -> tuple[Column, Column]:
     """Chi-square statistic and dof of a group from sums over its own categories.
 
     A reference category the group never shows adds exactly its reference count to the
     reference part, so the group's rows suffice and the tables are never crossed.
     ``one`` is the (n_ref, n_cur) pair of any one category: with two categories it fixes
-    the whole table, which then gets the continuity correction.
+    the whole table, which then gets the continuity correction. *ref_total* and *ref_kinds* are the rows and the
+    non-empty categories of the reference.
     """
-    mix = {c: n for c, n in reference_mix.items() if n > 0}
-    ref = F.lit(float(sum(mix.values())))
+    ref = ref_total.cast("double")
     cur = n_cur.cast("double")
     n = ref + cur
     full_ref_part = ref_part + (ref - matched_ref)
     plain = n * (full_ref_part / ref + cur_part / cur - 1.0)
-    k = k_current + F.lit(len(mix)) - k_matched
+    k = k_current + ref_kinds - k_matched
     col = (one["n_ref"] + one["n_cur"]).cast("double")
     det = F.abs(one["n_ref"] * cur - ref * one["n_cur"])
     shrunk = F.greatest(det - n / 2.0, F.lit(0.0))
@@ -419,15 +419,18 @@ def chi_square_columns(
     return F.when(usable, F.when(k == 2, yates).otherwise(plain)), F.when(usable, (k - 1).cast("int"))
 
 
-def chi_square_mix(current: DataFrame, by: Sequence[str], reference_mix: dict[str, int]) -> DataFrame:
-    """Chi-square of each group's ``(by..., category, n)`` mix against the reference mix.
+def chi_square_mix(current: DataFrame, by: Sequence[str], reference_counts: DataFrame) -> DataFrame:
+    """Chi-square of each group's ``(by..., category, n)`` mix against the reference's ``(category, n)``.
 
-    The reference mix is a frozen class list: its size is that of the configuration.
+    A join of two category tables of any size: each row of *current* looks up its own category, and the reference's total and
+    number of categories, one row, stand for those a group never shows. A category may come in several rows of either table;
+    null is a category. Without a reference, or with one category in all, there is no statistic.
     """
-    pairs = [x for c, n in reference_mix.items() if n > 0 for x in (F.lit(str(c)), F.lit(int(n)).cast("bigint"))]
-    zero = F.lit(0).cast("bigint")
-    n_ref = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("category")), zero) if pairs else zero
-    rows = current.where(F.col("n") > 0).select(*by, "category", F.col("n").alias("n_cur"), n_ref.alias("n_ref"))
+    by, text = list(by), F.col("category").cast("string").alias("category")
+    known = reference_counts.where("n > 0").select(text, "n").groupBy("category").agg(F.sum("n").alias("n_ref"))
+    size = known.agg(F.coalesce(F.sum("n_ref"), F.lit(0)).alias("_ref"), F.count(F.lit(1)).alias("_kr"))
+    own = current.where("n > 0").select(*by, text, "n").groupBy(*by, "category").agg(F.sum("n").alias("n_cur"))
+    rows = null_safe_join(own, known, ["category"], "left").withColumn("n_ref", F.coalesce("n_ref", F.lit(0).cast("bigint")))
     total = (F.col("n_cur") + F.col("n_ref")).cast("double")
     agg = rows.groupBy(*by).agg(
         F.sum("n_cur").alias("n_current"),
@@ -436,13 +439,14 @@ def chi_square_mix(current: DataFrame, by: Sequence[str], reference_mix: dict[st
         F.sum(F.col("n_cur").cast("double") * F.col("n_cur") / total).alias("_cp"),
         F.count_if(F.col("n_ref") > 0).alias("_km"),
         F.count(F.lit(1)).alias("_kc"),
-        F.min_by(F.struct("n_ref", "n_cur"), "category").alias("_one"),
+        F.first(F.struct("n_ref", "n_cur")).alias("_one"),
     )
     stat, dof = chi_square_columns(
         F.col("n_current"), F.col("_matched"), F.col("_rp"), F.col("_cp"),
-        F.col("_km"), F.col("_kc"), F.col("_one"), reference_mix,
+        F.col("_km"), F.col("_kc"), F.col("_one"), F.col("_ref"), F.col("_kr"),
     )
-    out = agg.select(*by, "n_current", stat.alias("chi2"), dof.alias("dof"))
+    # The reference size is a one-row aggregate.
+    out = agg.join(size).select(*by, "n_current", stat.alias("chi2"), dof.alias("dof"))
     return out.withColumn("pvalue", chi2_pvalue(F.col("chi2"), F.col("dof")))
 
 

@@ -183,7 +183,8 @@ def window_signals(
         over(lambda r, n: F.when(r > 0, 1).otherwise(0)),
         over(lambda r, n: F.lit(1)),
         one,
-        {c: mix.get(c, 0) for c in {*classes, *mix}},
+        F.lit(sum(mix.values())),
+        F.lit(sum(n > 0 for n in mix.values())),
     )
     signals = joined.select(
         *by,

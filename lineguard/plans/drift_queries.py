@@ -192,7 +192,26 @@ def _class_mix(spark, sf):
 
 @register("agg16_chi_square_mix", "cur ref_rows", f"WITH {_CHI} SELECT scenario, n_current, {r('chi2')} AS chi2, dof FROM chi")
 def agg16(spark, sf):
-    return drift.chi_square_mix(_class_mix(spark, sf), BY, X.reference(spark, sf).class_mix()).drop("pvalue")
+    return drift.chi_square_mix(_class_mix(spark, sf), BY, X.reference(spark, sf).classes).drop("pvalue")
+
+
+@register(
+    "agg16_chi_square_users",
+    "base_preds cur",
+    f"""WITH a AS (SELECT user_id, count(*) AS a FROM base_preds WHERE ts < TIMESTAMP '2024-01-11' GROUP BY 1), b AS (SELECT scenario, user_id, count(*) AS b FROM cur GROUP BY 1, 2),
+      ct AS (SELECT s.scenario, u.user_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT DISTINCT scenario FROM b) s
+        CROSS JOIN (SELECT user_id FROM a UNION SELECT user_id FROM b) u LEFT JOIN a USING (user_id) LEFT JOIN b ON b.scenario = s.scenario AND b.user_id = u.user_id WHERE coalesce(a, 0) + coalesce(b, 0) > 0),
+      tt AS (SELECT scenario, sum(a)::double AS ra, sum(b)::double AS rb FROM ct GROUP BY 1),
+      ex AS (SELECT scenario, a, b, (a + b) * ra / (ra + rb) AS ea, (a + b) * rb / (ra + rb) AS eb FROM ct JOIN tt USING (scenario))
+      SELECT scenario, sum(b)::bigint AS n_current, {r('sum(power(a - ea, 2) / ea + power(b - eb, 2) / eb)', 4)} AS chi2, count(*) - 1 AS dof FROM ex GROUP BY 1""",
+)
+def agg16_users(spark, sf):
+    """A mix of as many categories as there are users."""
+    old = X.table(spark, sf, "events").where(F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz"))
+    count = F.count(F.lit(1)).alias("n")
+    current = X.current(spark, sf).groupBy("scenario", F.col("user_id").alias("category")).agg(count)
+    found = drift.chi_square_mix(current, BY, old.groupBy(F.col("user_id").alias("category")).agg(count)).drop("pvalue")
+    return found.withColumn("chi2", F.round("chi2", 4))
 
 
 @register(
@@ -208,7 +227,7 @@ def agg16(spark, sf):
 def agg16_hours(spark, sf):
     """More than two categories: the hour-of-day mix."""
     hour = F.col("f4").cast("int").cast("string")
-    mix = {r_["h"]: r_["n"] for r_ in X.ref_rows(spark, sf).groupBy(hour.alias("h")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    mix = X.ref_rows(spark, sf).groupBy(hour.alias("category")).agg(F.count(F.lit(1)).alias("n"))
     counts = X.current(spark, sf).groupBy("scenario", hour.alias("category")).agg(F.count(F.lit(1)).alias("n"))
     return drift.chi_square_mix(counts, BY, mix).drop("pvalue")
 

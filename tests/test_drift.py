@@ -136,7 +136,8 @@ def brute_chi2(ref, cur):
 )
 def test_chi_square_matches_the_table(spark, ref, cur):
     df = spark.createDataFrame([("g", k, n) for k, n in cur.items()], "g string, category string, n bigint")
-    row = drift.chi_square_mix(df, ["g"], ref).first()
+    counts = spark.createDataFrame([*ref.items(), ("gone", 0)], "category string, n bigint")
+    row = drift.chi_square_mix(df, ["g"], counts).first()
     names = sorted({*ref, *cur})
     expected = brute_chi2([ref.get(c, 0) for c in names], [cur.get(c, 0) for c in names])
     assert row["chi2"] == pytest.approx(expected, abs=1e-9) and row["dof"] == len(names) - 1
@@ -144,7 +145,23 @@ def test_chi_square_matches_the_table(spark, ref, cur):
 
 def test_one_category_has_no_chi_square(spark):
     df = spark.createDataFrame([("g", "a", 5)], "g string, category string, n bigint")
-    assert drift.chi_square_mix(df, ["g"], {"a": 10}).first()["chi2"] is None
+    ref = spark.createDataFrame([("a", 10)], "category string, n bigint")
+    assert drift.chi_square_mix(df, ["g"], ref).first()["chi2"] is None
+    assert drift.chi_square_mix(df, ["g"], ref.limit(0)).first()["chi2"] is None
+
+
+def test_chi_square_of_thousands_of_categories(spark):
+    rng = np.random.default_rng(2)
+    ref, cur = rng.integers(0, 6, 5000), rng.integers(0, 4, 5000)
+    names = [None, *(f"c{i}" for i in range(4999))]
+    rows = [(None, c, int(n)) for c, n in zip(names, cur)] + [(None, "c7", 2)]
+    cur[8] += 2
+    got = drift.chi_square_mix(
+        spark.createDataFrame(rows, "g string, category string, n bigint"),
+        ["g"],
+        spark.createDataFrame([(c, int(n)) for c, n in zip(names, ref)], "category string, n bigint"),
+    ).first()
+    assert got["chi2"] == pytest.approx(brute_chi2(ref, cur), rel=1e-9) and got["dof"] == (ref + cur > 0).sum() - 1
 
 
 def test_rollup_of_nothing_is_zero(spark):
