@@ -34,7 +34,7 @@ _BATCH = 128
 _RATE = 0.02
 #: Windows that are scored at a time, and words whose numbers each worker keeps.
 _WINDOWS = 4_096
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 _WORD = re.compile(r"\w+")
 
 
