@@ -9,18 +9,22 @@ aggregate, so neither a hot source nor a large corpus makes it longer.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineguard.llm.common import fresh, stage
 
 #: Powers that temper the shares of the corpus into default targets: 1 keeps them, 0 makes them equal.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-SWEEPS = 8
+#: Relative distance from the targets at which raking ends.
+TOLERANCE = 1e-3
+#: Raking also ends after a sweep that leaves more than this part of the distance.
+STALLED = 0.998
 #: Share of all tokens that the sample should hold.
 BUDGET = 0.5
-#: Rounds in which cells that reach probability 1 give what they lack to the others.
-ROUNDS = 8
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,43 +61,62 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return sums.crossJoin(F.broadcast(total)).select(dim, (F.col("mass") / F.col("all")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+def _step(rows: DataFrame, dim: str) -> DataFrame:
+    """*rows* with ``share`` scaled so that its sums by *dim* are the targets in ``to_<dim>``."""
+    held, target = F.sum("share"), F.coalesce(F.first(f"to_{dim}"), F.lit(0.0))
+    factors = rows.groupBy(F.col(dim).alias("__value")).agg(F.when(held > 0, target / held).otherwise(0.0).alias("__factor"))
+    scaled = rows.join(factors, rows[dim].eqNullSafe(factors["__value"]))
+    return scaled.withColumn("share", F.col("share") * F.col("__factor")).select(*rows.columns)
+
+
+def off_target(rows: DataFrame, dims: Sequence[str]) -> float:
+    """The largest relative distance of a sum of ``share`` from its target ``to_<dim>``, over all values of *dims*; 0 without rows."""
+    off = []
+    for dim in dims:
+        sums = rows.groupBy(dim).agg(F.sum("share").alias("held"), F.first(f"to_{dim}").alias("to")).where("to > 0")
+        off.append(sums.select((F.abs(F.col("held") - F.col("to")) / F.col("to")).alias("off")))
+    return reduce(DataFrame.unionAll, off).agg(F.max("off")).first()[0] or 0.0
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
     """*cells* (with ``tokens``) and ``share``: their weights, whose sums by each dimension follow *targets*.
 
-    A target is a table of the dimension's values and their ``target``; null is a value like any other. A value
-    without a target gets none; targets that no cell can meet are left as near as the sweeps bring them.
+    Also returns how far the sums stay off, as :func:`off_target`. Sweeps go on until that is at most *tolerance*, or until
+    a sweep hardly lowers it, as where no weights meet all targets. A target is a table of the dimension's values and
+    their ``target``; null is a value like any other, and a value without a target gets no weight. Sums are combined before
+    they are shuffled, so a language or topic that most cells have is no long task.
     """
     out = cells
     for dim, target in targets.items():
         named = target.select(F.col(dim).alias("value"), F.col("target").alias(f"to_{dim}"))
         out = out.join(named, out[dim].eqNullSafe(named["value"]), "left").drop("value")
-    out = out.withColumn("share", F.col("tokens").cast("double"))
-    for _ in range(sweeps):
+    out = stage(out.withColumn("share", F.col("tokens").cast("double")), "raked")
+    before, off = float("inf"), float("inf")
+    while off > tolerance and off <= STALLED * before:
         for dim in targets:
-            held = F.sum("share").over(Window.partitionBy(dim))
-            share = F.col("share") * F.coalesce(f"to_{dim}", F.lit(0.0)) / held
-            out = out.withColumn("share", F.when(held > 0, share).otherwise(0.0))
-        out = stage(out, "raked")  # keeps the plan short
-    return out.drop(*[f"to_{dim}" for dim in targets])
+            out = stage(_step(out, dim), "raked")  # keeps the plan short
+        before, off = off, off_target(out, list(targets))
+    return out.drop(*[f"to_{dim}" for dim in targets]), off
 
 
-def calibrate(cells: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """*cells* (``tokens``, ``share``) and ``probability``, at most 1, for *budget* of all tokens.
 
-    A cell too small for its share is taken whole; the rest of the budget is shared out again among the others. Each
-    round is an aggregate of the cells that brings two numbers to the driver.
+    A cell too small for its share is taken whole; the rest of the budget is shared out again among the others, until no
+    more cells are whole. Each round is an aggregate of the cells that brings three numbers to the driver.
     """
-    chance = F.lit(0.0)
-    for _ in range(rounds):
+    chance, taken = F.lit(0.0), -1
+    while True:
         whole = chance >= 1
         row = cells.agg(
             (F.sum("tokens") * F.lit(float(budget)) - F.sum(F.when(whole, F.col("tokens")).otherwise(0))).cast("double").alias("left"),
             F.sum(F.when(whole, 0.0).otherwise(F.col("share"))).alias("open"),
+            F.count_if(whole).alias("whole"),
         ).first()
-        if not row["open"] or row["open"] <= 0:
-            break
+        if row["whole"] <= taken or not row["open"] or row["open"] <= 0:
+            return cells.withColumn("probability", chance)
+        taken = row["whole"]
         chance = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(row["left"] / row["open"]) * F.col("share") / F.col("tokens")))
-    return cells.withColumn("probability", chance)
 
 
 def mix(
@@ -106,12 +129,12 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """*docs* with ``topic``, ``tokens``, ``probability`` and ``kept``.
+    """*docs* with ``topic``, ``tokens``, ``probability``, ``kept`` and ``off_target``, the same for all rows (:func:`off_target`).
 
     Names that *docs* has already get underscores in front. Null sources, languages and topics are values of their own; null
     texts count as empty; rows that share an id share their decision; an empty table gives an empty result.
     """
-    names = {n: fresh(docs, n) for n in ("topic", "tokens", "probability", "kept")}
+    names = {n: fresh(docs, n) for n in ("topic", "tokens", "probability", "kept", "off_target")}
     counted = docs.withColumn(names["tokens"], tokens(F.col(text_col)))
     own_topic = layout(F.col(text_col), F.col(names["tokens"])) if topic is None else topic
     counted = counted.withColumn(names["topic"], own_topic)
@@ -119,14 +142,15 @@ def mix(
     cells = counted.groupBy(*[c.alias(n) for n, c in axes.items()]).agg(F.sum(names["tokens"]).alias("tokens"))
     cells = stage(cells, "cells")
     wanted = targets or {dim: tempered(cells, dim, power) for dim, power in TEMPER.items()}
-    raked = rake(cells, wanted)
+    raked, off = rake(cells, wanted)
     fitted = calibrate(raked, budget).select(*[F.col(n).alias(f"__{n}") for n in axes], F.col("probability").alias(names["probability"]))
     same = [c.eqNullSafe(fitted[f"__{n}"]) for n, c in axes.items()]
     joined = counted.join(fitted, same[0] & same[1] & same[2], "left").drop(*[f"__{n}" for n in axes])
-    return joined.withColumn(names["kept"], uniform(F.col(id_col), F.col(text_col), seed) < F.col(names["probability"]))
+    joined = joined.withColumn(names["kept"], uniform(F.col(id_col), F.col(text_col), seed) < F.col(names["probability"]))
+    return joined.withColumn(names["off_target"], F.lit(off))
 
 
-def sql(source: str = "documents", columns: str = "doc_id, topic, tokens, probability, kept") -> str:
+def sql(source: str = "documents", columns: str = "doc_id, topic, tokens, probability, kept, off_target") -> str:
     """DuckDB SQL for the rows of :func:`mix` on a table or subquery *source*, with the default targets."""
     parts = [
         f"""counted AS (SELECT *, greatest(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')), 1) AS tokens FROM {source})""",
@@ -143,27 +167,28 @@ def sql(source: str = "documents", columns: str = "doc_id, topic, tokens, probab
     joins = " ".join(f"LEFT JOIN to_{d} ON cells.{d} IS NOT DISTINCT FROM to_{d}.{d}" for d in TEMPER)
     goals = ", ".join(f"to_{d}.to_{d} AS to_{d}" for d in TEMPER)
     parts.append(f"step0 AS (SELECT cells.*, {goals}, cells.tokens::DOUBLE AS share FROM cells {joins})")
-    k = 0
-    for _ in range(SWEEPS):
-        for dim in TEMPER:
-            parts.append(
-                f"step{k + 1} AS (SELECT * REPLACE (CASE WHEN sum(share) OVER (PARTITION BY {dim}) > 0 THEN "
-                f"share * coalesce(to_{dim}, 0.0) / sum(share) OVER (PARTITION BY {dim}) ELSE 0.0 END AS share) FROM step{k})"
-            )
-            k += 1
-    parts.append(f"round0 AS (SELECT source, lang, topic, tokens, share, 0.0::DOUBLE AS probability FROM step{k})")
-    for r in range(ROUNDS):
-        parts.append(
-            f"left{r} AS (SELECT (sum(tokens) * {BUDGET}::DOUBLE - sum(CASE WHEN probability >= 1 THEN tokens ELSE 0 END))::DOUBLE AS rest, "
-            f"sum(CASE WHEN probability >= 1 THEN 0.0 ELSE share END) AS open FROM round{r})"
-        )
-        parts.append(
-            f"round{r + 1} AS (SELECT * EXCLUDE (rest, open) REPLACE (CASE WHEN probability >= 1 OR open <= 0 THEN probability "
-            f"ELSE least(1.0, greatest(0.0, rest / open * share / tokens)) END AS probability) FROM round{r} CROSS JOIN left{r})"
-        )
+    sweep = f"(SELECT * FROM raked WHERE off > {TOLERANCE} AND off <= {STALLED} * before)"
+    for dim in TEMPER:
+        held = f"sum(share) OVER (PARTITION BY {dim})"
+        sweep = f"(SELECT * REPLACE (CASE WHEN {held} > 0 THEN share * (coalesce(to_{dim}, 0.0) / {held}) ELSE 0.0 END AS share) FROM {sweep})"
+    gaps = ", ".join(f"CASE WHEN to_{d} > 0 THEN abs(sum(share) OVER (PARTITION BY {d}) - to_{d}) / to_{d} ELSE 0.0 END" for d in TEMPER)
+    names = f"source, lang, topic, tokens, {', '.join(f'to_{d}' for d in TEMPER)}, share"
+    parts.append(
+        f"raked AS (SELECT 0 AS k, {names}, 1e300::DOUBLE AS before, 1e299::DOUBLE AS off FROM step0 UNION ALL "
+        f"SELECT k + 1, {names}, off, max(gap) OVER () FROM (SELECT *, greatest({gaps}) AS gap FROM {sweep}))"
+    )
+    open_share = "sum(CASE WHEN probability >= 1 THEN 0.0 ELSE share END) OVER ()"
+    rest = f"(sum(tokens) OVER () * {BUDGET}::DOUBLE - sum(CASE WHEN probability >= 1 THEN tokens ELSE 0 END) OVER ())"
+    parts.append(
+        "filled AS (SELECT 0 AS k, source, lang, topic, tokens, share, off, 0.0::DOUBLE AS probability, -1::BIGINT AS taken "
+        "FROM raked WHERE k = (SELECT max(k) FROM raked) UNION ALL "
+        "SELECT k + 1, source, lang, topic, tokens, share, off, least(1.0, greatest(0.0, rest / open * share / tokens)), whole FROM "
+        f"(SELECT *, {rest} AS rest, {open_share} AS open, count(*) FILTER (probability >= 1) OVER () AS whole FROM filled) WHERE whole > taken AND open > 0)"
+    )
     chance = "('0x' || substr(md5('0 ' || coalesce(docs.doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0"
     same = " AND ".join(f"docs.{d} IS NOT DISTINCT FROM f.{d}" for d in TEMPER)
     parts.append(
-        f"mixed AS (SELECT docs.*, f.probability AS probability, {chance} < f.probability AS kept FROM docs LEFT JOIN round{ROUNDS} f ON {same})"
+        f"mixed AS (SELECT docs.*, f.probability AS probability, {chance} < f.probability AS kept, f.off AS off_target FROM docs "
+        f"LEFT JOIN (SELECT * FROM filled WHERE k = (SELECT max(k) FROM filled)) f ON {same})"
     )
-    return f"WITH {', '.join(parts)} SELECT {columns} FROM mixed"
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT {columns} FROM mixed"

@@ -43,9 +43,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every document its topic, tokens, calibrated probability and whether it is drawn."""
+    """For every document its topic, tokens, calibrated probability, whether it is drawn, and how far shares are off target."""
     mixed = mixing.mix(load(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+    return mixed.select("doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept", F.round("off_target", 9).alias("off_target"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +192,7 @@ def queries() -> dict[str, Query]:
 
 def oracles() -> dict[str, str]:
     return {
-        "op3_mixing": mixing.sql(columns="doc_id, topic, tokens, round(probability, 6) AS probability, kept"),
+        "op3_mixing": mixing.sql(columns="doc_id, topic, tokens, round(probability, 6) AS probability, kept, round(off_target, 9) AS off_target"),
         "op7_warc": _WARC_SQL,
         "op8_url_filter": _URL_SQL,
         "op13_ranked_search": bitsliced.sql(),

@@ -6,6 +6,7 @@ import hashlib
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -380,21 +381,75 @@ def test_samples_with_null_and_repeated_ids(spark, monkeypatch):
 # -- mixing
 
 
+CELL = "source string, lang string, topic string, tokens long"
+
+
+def raked_off(raked, targets):
+    """The largest relative distance from a target, counted anew."""
+    rows, off = raked.toPandas(), 0.0
+    for d, target in targets.items():
+        got = rows.fillna({d: "?"}).groupby(d)["share"].sum()
+        off = max([off, *[abs(got[r[d] or "?"] / r["target"] - 1) for r in target.collect() if r["target"] > 0]])
+    return off
+
+
 def test_raked_shares_meet_the_targets(spark):
     rng = np.random.default_rng(6)
     cells = [(f"s{i}", f"l{j}", f"t{k}", int(rng.integers(50, 900))) for i in range(4) for j in range(3) for k in range(2)] + [(None, "l0", "t0", 70)]
-    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    df = spark.createDataFrame(cells, CELL)
     targets = {d: mixing.tempered(df, d, p) for d, p in (("source", 0.3), ("lang", 0.5), ("topic", 0.0))}
-    raked = mixing.rake(df, targets, sweeps=20).cache()
-    for d, target in targets.items():
-        want = {r[d]: r["target"] for r in target.collect()}
-        got = {r[d]: r["s"] for r in raked.groupBy(d).agg(F.sum("share").alias("s")).collect()}
-        assert got == pytest.approx(want, abs=1e-6)
+    raked, off = mixing.rake(df, targets, tolerance=1e-7)
+    assert off <= 1e-7 and raked_off(raked, targets) == pytest.approx(off, abs=1e-12)
     fitted = mixing.calibrate(raked, 0.6).toPandas()
     assert fitted["probability"].between(0, 1).all()
     assert (fitted["probability"] * fitted["tokens"]).sum() == pytest.approx(0.6 * fitted["tokens"].sum(), rel=1e-6)
 
 
+def test_sparse_shares_are_swept_to_the_tolerance(spark):
+    """Most sources have one language and two topics: eight sweeps leave these cells percents away."""
+    rng = np.random.default_rng(5)
+    cells = [(f"s{i}", f"l{j}", f"t{k}") for i in range(12) for j in {i % 3, (i % 3 + (i % 4 == 0)) % 3} for k in {i % 4, (i + 1) % 4}]
+    tokens = [int(10 ** rng.uniform(3, 5)) for _ in cells]
+    goal = [t * float(w) for t, w in zip(tokens, 10 ** rng.uniform(-0.4, 0.4, len(cells)))]  # some weights that can be met
+    df = spark.createDataFrame([(*c, t) for c, t in zip(cells, tokens)], CELL)
+    met = spark.createDataFrame([(*c, g / sum(goal)) for c, g in zip(cells, goal)], "source string, lang string, topic string, g double")
+    targets = {d: met.groupBy(d).agg(F.sum("g").alias("target")) for d in ("source", "lang", "topic")}
+    raked, off = mixing.rake(df, targets)
+    assert off <= mixing.TOLERANCE and raked_off(raked, targets) == pytest.approx(off, abs=1e-12)
+
+
+def test_targets_that_cannot_be_met_end_the_sweeps(spark):
+    df = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 90)], CELL)
+    half = {d: df.select(d, F.lit(t).alias("target")).distinct() for d, t in (("source", 0.5), ("topic", 1.0))}
+    lang = spark.createDataFrame([("x", 0.9), ("y", 0.1)], "lang string, target double")
+    raked, off = mixing.rake(df, {"source": half["source"], "lang": lang, "topic": half["topic"]})
+    assert raked.count() == 2 and off == pytest.approx(0.8)
+    empty, none = mixing.rake(df.limit(0), half)
+    assert empty.count() == 0 and none == 0
+
+
+def test_every_round_of_the_budget_is_taken(spark):
+    """Thirteen rounds make one more cell whole each."""
+    level, step, cells = 2.0**30, 2.0**28, []
+    for k in range(13):
+        cells.append((f"s{k}", "l", "t", int((level - step) * 2.0**-k), 2.0**-k))
+        level, step = level + step, step / 2
+    df = spark.createDataFrame([*cells, ("last", "l", "t", 2**40, 2.0**-12)], CELL + ", share double")
+    budget = 2.0**31 / sum(r["tokens"] for r in df.collect())
+    fitted = mixing.calibrate(df, budget).toPandas()
+    assert (fitted["probability"] * fitted["tokens"]).sum() == pytest.approx(2.0**31, rel=1e-9)
+    assert (fitted["probability"] == 1).sum() == 13
+
+
+def test_mixing_equals_its_sql(spark, docs):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = db.execute(queries.oracles()["op3_mixing"]).df().sort_values("doc_id").reset_index(drop=True)
+    got = queries.queries()["op3_mixing"](spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert got[["doc_id", "topic", "tokens", "kept"]].equals(want[got.columns][["doc_id", "topic", "tokens", "kept"]].astype({"tokens": "int64"}))
+    assert np.allclose(got[["probability", "off_target"]], want[["probability", "off_target"]], atol=2e-6)
+
+
 # -- edge cases and the pipeline
 
 
