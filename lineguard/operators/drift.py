@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineguard import params
@@ -16,6 +16,7 @@ from lineguard.operators.ordered import (
     default_parts,
     exact_quantiles,
     null_safe_join,
+    range_number,
     running_sums,
     value_counts,
 )
@@ -321,6 +322,45 @@ def psi(
 # -- two-sample KS -----------------------------------------------------------
 
 
+def _reference_at(
+    current: DataFrame, by: Sequence[str], there: DataFrame, cuts: Sequence[tuple], parts: int
+) -> DataFrame:
+    """*current* with ``n_ref``, ``cum_n_ref`` and ``tot_n_ref``: reference rows at its value, up to it, and of its feature.
+
+    *there* holds ``(feature, value, n_ref)``. Values of a feature without a reference are left out.
+    """
+    salts = max(1, parts // 8) if by else 1
+    salt = F.pmod(F.xxhash64(*by), F.lit(salts)) if by else F.lit(0).cast("bigint")
+    copies = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    ours = current.select(*current.columns, F.lit(0).cast("bigint").alias("n_ref"), F.lit(True).alias("_own"), salt.alias("_salt"))
+    theirs = there.select("feature", "value", "n_ref", F.lit(False).alias("_own"), F.explode(copies).alias("_salt"))
+    at = range_number(["value"], cuts)
+    stream = ours.unionByName(theirs, allowMissingColumns=True).withColumn("_range", at)
+    # The second window is clustered by more columns than the first, so one shuffle serves both.
+    upto = Window.partitionBy("_salt", "feature", "_range").orderBy("value")
+    same = Window.partitionBy("_salt", "feature", "_range", "value")
+    passed = stream.select(
+        *current.columns,
+        "_own",
+        "_range",
+        F.sum("n_ref").over(upto.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("_upto"),
+        F.sum("n_ref").over(same).alias("n_ref"),
+    )
+    sums = there.withColumn("_range", at).groupBy("feature", "_range").agg(F.sum("n_ref").alias("_n"))
+    ranges = F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("_range")
+    grid = sums.groupBy("feature").agg(F.sum("_n").alias("tot_n_ref")).select("feature", "tot_n_ref", ranges)
+    before = Window.partitionBy("feature").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = grid.join(sums, ["feature", "_range"], "left").select(
+        "feature", "_range", "tot_n_ref", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    # One row per schema feature and range, so broadcasting the offsets is bounded.
+    return (
+        passed.where("_own")
+        .join(F.broadcast(offsets), ["feature", "_range"])
+        .select(*current.columns, "n_ref", (F.col("_before") + F.col("_upto")).alias("cum_n_ref"), "tot_n_ref")
+    )
+
+
 def ks_two_sample(
     df: DataFrame,
     by: Sequence[str],
@@ -332,21 +372,18 @@ def ks_two_sample(
     """Two-sample KS distance of every group against the one reference.
 
     The distance is attained at, or just below, a value of the current sample, so
-    the reference CDF is looked up at those values only. The reference is ranked once for
-    all groups instead of being repeated per group. ``bounded`` states that
-    each group of *df* is small by construction.
+    the reference CDF is read at those values only: both samples go through the value ranges as one tagged stream,
+    in which a running sum of the reference counts passes every current value. No value is joined to. Groups are
+    dealt over salts, each with its own copy of the counted reference, so that a value which every group shows is not
+    one task. ``bounded`` states that each group of *df* is small by construction.
     """
     by = list(by)
     rows = unpivot_features(df, by, features)
     current = value_counts(rows, [*by, "feature"], "value")
-    here = current.groupBy("feature", "value").agg(F.lit(0).cast("bigint").alias("n_ref"))
     there = reference.values.select("feature", "value", F.col("n").alias("n_ref"))
-    lookup = here.unionByName(there).groupBy("feature", "value").agg(F.sum("n_ref").alias("n_ref"))
-    both_sides = rows.select("value").union(there.select("value"))
-    cuts = cut_points(both_sides, ["value"], ["value"], default_parts(df))
-    ref_cdf = running_sums(lookup, ["feature"], ["value"], ["n_ref"], cuts=cuts)
-    ranked = running_sums(current, [*by, "feature"], ["value"], ["n"], bounded=bounded, cuts=cuts)
-    both = ranked.join(ref_cdf, ["feature", "value"])
+    cuts = cut_points(rows.select("value").union(there.select("value")), ["value"], ["value"], default_parts(df))
+    both = _reference_at(current, by, there, cuts, default_parts(df))
+    both = running_sums(both, [*by, "feature"], ["value"], ["n"], bounded=bounded, cuts=cuts)
     total = F.col("tot_n_ref").cast("double")
     cur_at, cur_below = (
         F.col("cum_n") / F.col("tot_n").cast("double"),

@@ -100,6 +100,7 @@ def running_sums(
     carry_first: tuple[str, str] | None = None,
     cut_source: DataFrame | None = None,
     cuts: list[tuple] | None = None,
+    ranges: Column | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum) and ``tot_<c>`` (group total) per sum column.
 
@@ -109,6 +110,8 @@ def running_sums(
     group's smallest ``at``.
     ``cut_source`` is a table with the order columns to read cut points from, say the rows *df*
     was counted from, when that is cheaper than running *df* itself; ``cuts`` passes known ones.
+    ``ranges`` is a condition on ``_before_<c>``, ``_sum_<c>`` and ``tot_<c>`` of a range. Rows of other ranges may be
+    left out; where cuts exist they are, before anything is sorted. Totals cover all rows.
     """
     by, order, sums = list(by), list(order), list(sums)
     if bounded:
@@ -132,8 +135,6 @@ def running_sums(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    rows = ranged.select("*", *[F.sum(c).over(local).alias(f"_local_{c}") for c in sums])
-
     group = Window.partitionBy(*(by or [F.lit(0)]))
     before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*by, "_range").agg(
@@ -143,14 +144,23 @@ def running_sums(
     offsets = totals.select(
         *by,
         "_range",
+        *([f"_sum_{c}" for c in sums] if ranges is not None else []),
         *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in sums],
         *[F.sum(f"_sum_{c}").over(group).alias(f"tot_{c}") for c in sums],
         *([F.min_by("_first", "_at").over(group).alias(f"first_{carry_first[0]}")] if carry_first else []),
     )
-    if by:
-        joined = null_safe_join(rows, offsets, [*by, "_range"])
-    else:  # one row per range, so the rows stay where they are
-        joined = rows.join(F.broadcast(offsets), "_range")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        if by:
+            return null_safe_join(rows, offsets, [*by, "_range"])
+        return rows.join(F.broadcast(offsets), "_range")  # one row per range, so the rows stay where they are
+
+    sums_here = [F.sum(c).over(local).alias(f"_local_{c}") for c in sums]
+    if ranges is None:
+        joined = placed(ranged.select("*", *sums_here))
+    else:
+        offsets = offsets.where(ranges)
+        joined = placed(ranged).select("*", *sums_here)
     return joined.select(
         *df.columns,
         *[(F.col(f"_before_{c}") + F.col(f"_local_{c}")).alias(f"cum_{c}") for c in sums],
@@ -196,7 +206,8 @@ def exact_quantiles(
 
     The built-in ``percentile`` holds a group's distinct values in one task's
     memory, so it serves only groups that are ``bounded`` by construction. Otherwise
-    ranks come from running sums over the distinct values. ``counted=True`` means
+    ranks come from running sums over the distinct values of the ranges that hold a wanted rank; the other
+    ranges are counted but never sorted. ``counted=True`` means
     *df* already is ``value_counts`` output.
     """
     probs = [float(p) for p in probs]
@@ -208,15 +219,16 @@ def exact_quantiles(
         )
     rows = df if counted else df.where(F.col(value).isNotNull())
     counts = rows if counted else value_counts(rows, by, value)
+    at = [f"({p!r}D * (tot_n - 1))" for p in probs]
+    ranks = [(i, side, f"{end}({x})") for i, x in enumerate(at) for side, end in (("lo", "floor"), ("hi", "ceil"))]
+    wanted = F.expr(" OR ".join(f"_before_n <= {rank} AND {rank} < _before_n + _sum_n" for _, _, rank in ranks))
     ranked = running_sums(
-        counts.select(*by, value, "n"), by, [value], ["n"], bounded=bounded, cut_source=rows.select(value)
+        counts.select(*by, value, "n"), by, [value], ["n"], bounded=bounded, cut_source=rows.select(value), ranges=wanted
     )
     picks = []
-    for i, p in enumerate(probs):
-        at = f"({p!r}D * (tot_n - 1))"
-        for side, rank in (("lo", f"floor({at})"), ("hi", f"ceil({at})")):
-            hit = f"cum_n - n <= {rank} AND {rank} < cum_n"
-            picks.append(F.expr(f"max(CASE WHEN {hit} THEN `{value}` END) AS _{side}_{i}"))
+    for i, side, rank in ranks:
+        hit = f"cum_n - n <= {rank} AND {rank} < cum_n"
+        picks.append(F.expr(f"max(CASE WHEN {hit} THEN `{value}` END) AS _{side}_{i}"))
     agg = ranked.groupBy(*by).agg(F.max("tot_n").cast("bigint").alias("n"), *picks)
     quantiles = []
     for i, p in enumerate(probs):

@@ -1,4 +1,4 @@
-"""Exact-size samples by hash order, without sorting a class in one task."""
+"""Exact-size samples by hash order: a threshold per group, found by radix selection."""
 
 from __future__ import annotations
 
@@ -8,42 +8,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineguard import params
-from lineguard.functions.columns import hash_draw, hash_order
+from lineguard.functions.columns import hash_order
 from lineguard.operators.ordered import null_safe_join
+from lineguard.session import stage
 
-_BUCKETS = 4096
+#: Hex digits of the hash that a round looks at, and the rows of a slice that are put in order at once.
+_DIGITS, _SMALL = 3, 10_000
+_HASH_LENGTH = 32
 
 
 def take_by_hash(
-    df: DataFrame, by: Sequence[str], take: Column, key: str, seed: int = params.SEED, buckets: int = _BUCKETS
+    df: DataFrame, by: Sequence[str], take: Column, key: str, seed: int = params.SEED, small: int = _SMALL
 ) -> DataFrame:
     """Per group, the ``take`` rows that come first in hash order: a random sample of exact size.
 
-    Hash draws are uniform, so equal slices of the hash space hold near-equal shares of
-    any group. Counting rows per slice (at most ``buckets`` counts per group) tells
-    which slices are taken whole; only the one slice the quota ends in is ordered.
-    *take* may use the group's row count ``n_group`` and the table's ``n_total``.
+    A round counts the rows of each group by the next digits of their hash, and opens the slice in which the quota
+    ends, until every open slice holds at most *small* rows. The hash of the last row taken is then the group's
+    threshold, and the sample is a filter: *df* meets a table of one row per group only, and no slice that grows with
+    the data is sorted. *take* may use the group's row count ``n_group`` and the table's ``n_total``.
+
+    Groups may be null. Rows without a key come first. *key* should tell rows apart: of rows that share the key at the
+    threshold any may be taken, and they are numbered in one task.
     """
     by = list(by)
-    width = (1 << 32) // buckets
-    draws = df.select("*", F.floor(hash_draw(seed, F.col(key)) / width).cast("int").alias("_slice"))
-    sizes = draws.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    text = F.coalesce(hash_order(seed, F.col(key)), F.lit(""))
+    rows = df.select(*by, text.alias("_text"))
     group = Window.partitionBy(*(by or [F.lit(0)]))
-    before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # The grand total is read off the group totals: one row per group, not per row of df.
-    totals = sizes.groupBy(*by).agg(F.sum("_n").alias("n_group"))
-    grand = totals.agg(F.sum("n_group").alias("n_total"))
-    quota = totals.join(grand).select(*by, take.alias("_take"))
-    ranged = sizes.select(*by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), "_n")
-    plan = null_safe_join(ranged, quota, by) if by else ranged.join(quota)
-    plan = plan.where(F.col("_before") < F.col("_take")).select(*by, "_slice", "_before", "_n", "_take")
-    hit = null_safe_join(draws, plan, [*by, "_slice"])
-    whole = hit.where(F.col("_before") + F.col("_n") <= F.col("_take"))
-    last = hit.where(F.col("_before") + F.col("_n") > F.col("_take"))
-    in_slice = Window.partitionBy(*by, "_slice").orderBy(hash_order(seed, F.col(key)), key)
-    ranked = last.select("*", F.row_number().over(in_slice).alias("_rank"))
-    rest = ranked.where(F.col("_before") + F.col("_rank") <= F.col("_take"))
-    return whole.select(*df.columns).unionByName(rest.select(*df.columns))
+
+    def matched(table: DataFrame, groups: DataFrame) -> DataFrame:
+        return null_safe_join(table, groups, by) if by else table.join(F.broadcast(groups))
+
+    def opened(slices: DataFrame) -> DataFrame:
+        """Of the slices of each group, the one that holds row number ``_left``; at most 4096 counts per group."""
+        before = group.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+        placed = slices.withColumn("_left", F.col("_left") - F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        return stage(placed.where(F.col("_left").between(1, F.col("_n"))).select(*by, "_prefix", "_n", "_left"), "sample-cut")
+
+    def counted(table: DataFrame, *carried: str) -> DataFrame:
+        prefix = F.substring("_text", 1, digits).alias("_prefix")
+        return table.groupBy(*by, *carried, prefix).agg(F.count(F.lit(1)).alias("_n"))
+
+    digits = _DIGITS
+    slices = stage(counted(rows), "sample-slices")
+    total = slices.agg(F.sum("_n")).first()[0] or 0
+    sized = slices.withColumn("n_group", F.sum("_n").over(group)).withColumn("n_total", F.lit(total).cast("bigint"))
+    cut = opened(sized.withColumn("_left", F.least(take, F.col("n_group"))))
+    while digits < _HASH_LENGTH and (cut.agg(F.max("_n")).first()[0] or 0) > small:
+        digits += _DIGITS
+        inside = matched(rows, cut.drop("_n")).where(F.col("_text").startswith(F.col("_prefix")))
+        cut = opened(counted(inside.drop("_prefix"), "_left"))
+
+    inside = matched(rows, cut.drop("_n")).where(F.col("_text").startswith(F.col("_prefix")))
+    ordered = group.orderBy("_text")
+    numbered = inside.select(
+        "*",
+        F.row_number().over(ordered).alias("_row"),
+        F.rank().over(ordered).alias("_first"),
+        F.count(F.lit(1)).over(Window.partitionBy(*by, "_text")).alias("_same"),
+    )
+    last = numbered.where(F.col("_row") == F.col("_left"))
+    ties = (F.col("_row") - F.col("_first") + 1).alias("_ties")
+    limits = stage(last.select(*by, F.col("_text").alias("_limit"), ties, "_same"), "sample-limits")
+
+    reached = matched(df.withColumn("_text", text), limits)
+    if limits.where(F.col("_ties") < F.col("_same")).isEmpty():
+        return reached.where(F.col("_text") <= F.col("_limit")).select(*df.columns)
+    below = reached.where(F.col("_text") < F.col("_limit"))
+    number = F.row_number().over(group.orderBy("_text"))
+    tied = reached.where(F.col("_text") == F.col("_limit")).withColumn("_row", number).where(F.col("_row") <= F.col("_ties"))
+    return below.select(*df.columns).unionByName(tied.select(*df.columns))
 
 
 def stratified_sample(df: DataFrame, n: int, stratum: str, key: str, seed: int = params.SEED) -> DataFrame:
