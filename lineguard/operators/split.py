@@ -37,6 +37,18 @@ def majority_label(df: DataFrame, group: str = "group", label: str = "label") ->
     )
 
 
+def group_strata(df: DataFrame, group: str = "group", label: str = "label") -> DataFrame:
+    """``(stratum, group, size)``: the most frequent known label, the smallest winning ties, and all rows of the group.
+
+    Rows without a label count in the size but not in the vote; only a group without any label has a null stratum.
+    """
+    per_label = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
+    vote = F.when(F.col(label).isNotNull(), F.struct("n", (-F.col(label)).alias("low")))
+    return per_label.groupBy(group).agg(F.sum("n").alias("size"), F.max_by(label, vote).cast("int").alias("stratum")).select(
+        "stratum", group, "size"
+    )
+
+
 def assign_folds(groups: DataFrame, targets: dict[str, float], *, seed: int = params.SEED) -> DataFrame:
     """``(group, split)`` from ``(stratum, group, size)``.
 

@@ -435,9 +435,7 @@ folds AS (SELECT *, CASE WHEN at_share < {1.0 - 0.15 - 0.2!r}::double THEN 'trai
 )
 def spl1(spark, sf):
     """Fold sizes against quotas, per stratum."""
-    rows = split.with_groups(X.scan_docs(spark, sf))
-    sized = split.majority_label(rows)
-    groups = sized.select(F.col("majority").cast("int").alias("stratum"), "group", "size")
+    groups = split.group_strata(split.with_groups(X.scan_docs(spark, sf)))
     folds = split.assign_folds(groups, split.fold_targets(0.15, 0.20))
     return groups.join(folds, "group").groupBy("stratum", "split").agg(F.sum("size").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"))
 

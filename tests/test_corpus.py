@@ -165,6 +165,12 @@ def test_folds_follow_the_running_share(spark):
     assert got == brute_split(groups, targets, 42)
 
 
+def test_rows_without_a_label_do_not_vote(spark):
+    rows = [("a", None), ("a", None), ("a", 1), ("b", None), ("c", 1), ("c", 0), ("c", None), ("d", 0), ("d", 1), ("d", 1)]
+    strata = split.group_strata(spark.createDataFrame(rows, "group string, label int"))
+    assert {r["group"]: (r["stratum"], r["size"]) for r in strata.collect()} == {"a": (1, 3), "b": (None, 1), "c": (0, 3), "d": (1, 3)}
+
+
 def test_quotas_are_met_within_the_largest_group(spark):
     groups = [("hot", 3000)] + [(f"g{i}", 1 + i % 3) for i in range(3000)]
     df = spark.createDataFrame([(i % 2 if g != "hot" else 0, g, s) for i, (g, s) in enumerate(groups)], "stratum int, group string, size bigint")
