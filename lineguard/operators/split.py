@@ -119,9 +119,8 @@ def build_manifest(
     kept = [c for c in MANIFEST_COLUMNS if c in scan.columns]
     # Rows and groups feed several passes each, so both are staged.
     rows = stage(with_groups(scan.select(*kept, "is_valid"), by_hash=group_by_hash).drop("is_valid"), "split-rows")
-    sized = majority_label(rows)
-    stratum = F.col("majority").cast("int") if stratify else F.lit(0)
-    groups = stage(sized.select(stratum.alias("stratum"), "group", "size"), "split-groups")
+    sized = group_strata(rows)
+    groups = stage(sized if stratify else sized.withColumn("stratum", F.lit(0)), "split-groups")
     folds = assign_folds(groups, targets, seed=seed)
     return join_folds(rows, folds).select(*MANIFEST_COLUMNS)
 

@@ -203,6 +203,15 @@ def test_manifest_guarantees(spark, copies, tmp_path):
         split.check_manifest(broken.withColumn("group", F.lit("one")))
 
 
+def test_manifest_stratum_ignores_rows_without_a_label(spark):
+    rows = [(f"r{i}", None if i % 3 else "ok", None if i % 3 else i // 3 % 2, f"s{i}", f"g{i // 3}", 8, 8, 1, True) for i in range(900)]
+    names = "relpath string, class_name string, label int, sha256 string, dhash string, width int, height int, file_bytes int, is_valid boolean"
+    got = {r["group"]: r["split"] for r in split.build_manifest(spark.createDataFrame(rows, names)).collect()}
+    for label in (0, 1):
+        groups = [(f"g{g}", 3) for g in range(300) if g % 2 == label]
+        assert {g: got[g] for g, _ in groups} == brute_split(groups, split.fold_targets(0.15, 0.2), 42)
+
+
 def test_required_columns(copies):
     with pytest.raises(ValueError, match="absent"):
         split.require_columns(copies, ["relpath", "absent"])
