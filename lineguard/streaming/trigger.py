@@ -46,9 +46,11 @@ def step_trigger(
 
 
 class OrderedTrigger(StatefulProcessor):
-    """Windows of one model wait in a map until the watermark passes them and are then replayed in order.
+    """Windows of one model wait in a list until the watermark passes them and are then replayed in order.
 
-    State: the waiting windows, a breach counter per rule, and the time of the last notification. A window that comes
+    State: the waiting windows, a breach counter per rule, and the time of the last notification. The list is written
+    once per block of input and read once per step of the watermark, and one timer stands at its earliest window, so the
+    calls to the state store grow with blocks and steps, not with windows. A window that comes
     again while it waits replaces itself; one that comes after its release is late and never gets here.
     """
 
@@ -58,39 +60,45 @@ class OrderedTrigger(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        values = ", ".join(["at double", *(f"`{m}` double" for m in self.metrics)])
-        self.waiting = handle.getMapState("waiting", "window_index long", values)
+        values = ", ".join(["window_index long", "at double", *(f"`{m}` double" for m in self.metrics)])
+        self.waiting = handle.getListState("waiting", values)
         self.streaks = handle.getMapState("streaks", "rule string", "breaches int")
         self.clock = handle.getValueState("clock", "last_fired double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            for row in pdf.to_dict("records"):
-                values = [row.get(m) for m in self.metrics]
-                self.waiting.updateValue(
-                    (int(row["window_index"]),), (float(row["at"]), *(math.nan if v is None else float(v) for v in values))
-                )
-                self.handle.registerTimer(_millis(row["at"]))
+            if pdf.empty:
+                continue
+            doubles = pdf.reindex(columns=["at", *self.metrics]).astype("float64").itertuples(index=False, name=None)
+            self.waiting.appendList([(int(i), *values) for i, values in zip(pdf["window_index"], doubles)])
+            self.handle.registerTimer(_millis(pdf["at"].min()))
         yield pd.DataFrame(columns=TRIGGER_SCHEMA.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # All windows that the watermark has passed go at once; the timers of the others then find nothing.
+        # All windows that the watermark has passed go at once; the next timer stands at the earliest of the others.
         until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        due = sorted((v[0], k[0], v[1:]) for k, v in self.waiting.iterator() if _millis(v[0]) <= until)
+        latest = {index: (at, index, values) for index, at, *values in self.waiting.get()}
+        due = sorted(w for w in latest.values() if _millis(w[0]) <= until)
+        rest = [(index, at, *values) for at, index, values in latest.values() if _millis(at) > until]
         out = []
         if due:
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
             streaks = {k[0]: v[0] for k, v in self.streaks.iterator()}
             last = self.clock.get()[0] if self.clock.exists() else None
             for at, index, values in due:
                 row = {"at": at, **dict(zip(self.metrics, values))}
                 streaks, last, fired, notify = step_trigger(streaks, last, row, self.rules, self.n, self.cooldown_s)
-                self.waiting.removeKey((index,))
                 if fired:
                     out.append((key[0], index, ",".join(fired), notify))
             for rule, breaches in streaks.items():
                 self.streaks.updateValue((rule,), (breaches,))
             if last is not None:
                 self.clock.update((last,))
+        if rest:
+            self.handle.registerTimer(_millis(min(w[1] for w in rest)))
         yield pd.DataFrame(out, columns=TRIGGER_SCHEMA.names)
 
     def close(self) -> None:

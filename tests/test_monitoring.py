@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from lineguard.functions import columns as C
 from lineguard.operators import drift, logs, monitor, policy, runs
 from lineguard.sources import tables
 from lineguard.streaming import jobs
-from lineguard.streaming.trigger import stateful_trigger, step_trigger
+from lineguard.streaming.trigger import OrderedTrigger, stateful_trigger, step_trigger
 
 
 def log_frame(spark, n=30, scenario="line"):
@@ -284,3 +285,82 @@ def test_stateful_trigger_orders_windows_over_batches_and_restarts(spark, tmp_pa
         streaks, clock, names, note = step_trigger(streaks, clock, row, params.RULES, params.RETRAINING["consecutive_windows"], 7200.0)
         want += [(i, ",".join(names), note)] if names else []
     assert last == want and [w[0] for w in want] == [3, 4, 5]
+
+
+class StateCalls:
+    """A processor handle that keeps its state in dictionaries and counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def _state(self, *_):
+        return StateStub(self)
+
+    getListState = getMapState = getValueState = _state
+
+
+class StateStub:
+    def __init__(self, handle):
+        self.handle, self.rows, self.map, self.value = handle, [], {}, None
+
+    def __getattribute__(self, name):
+        if name in ("get", "put", "appendList", "clear", "iterator", "updateValue", "removeKey", "update", "exists"):
+            object.__getattribute__(self, "handle").calls += 1
+        return object.__getattribute__(self, name)
+
+    def get(self):
+        return iter(self.rows) if self.value is None else self.value
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.rows.extend(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def iterator(self):
+        return iter(list(self.map.items()))
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.map.pop(key, None)
+
+    def update(self, value):
+        self.value = value
+
+    def exists(self):
+        return self.value is not None
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs
+
+
+def test_trigger_calls_the_state_store_per_block_not_per_window():
+    processor, handle = OrderedTrigger(params.RULES, 2, 7200.0), StateCalls()
+    processor.init(handle)
+    metrics = {m for _, m, *_ in params.RULES}
+    rows = pd.DataFrame([{"window_index": i, "at": i * 3600.0, **{m: 1.0 for m in metrics}} for i in (*range(999, -1, -1), 5)])
+    list(processor.handleInputRows(("m",), iter([rows[:600], rows[600:]]), None))
+    found = []
+    for watermark in (100 * 3_600_000, 2000 * 3_600_000):
+        while due := sorted(t for t in handle.timers if t <= watermark):
+            handle.timers.discard(due[0])
+            for out in processor.handleExpiredTimer(("m",), Clock(watermark), Clock(due[0])):
+                found += out["window_index"].tolist()
+    assert found == list(range(1, 1000)) and not handle.timers
+    assert handle.calls < 100
