@@ -18,23 +18,30 @@ from lineguard import params
 from lineguard.functions import pixels
 
 IMAGE_COLUMNS = ("height", "width", "nChannels", "data")
+#: Images whose results are held at a time, whatever the size of an Arrow batch.
+SLICE = 256
 
 
 def map_images(
     df: DataFrame, keep: Sequence[str], fields: Sequence[T.StructField], fn: Callable[[np.ndarray], tuple]
 ) -> DataFrame:
-    """Apply *fn* to the gray image of every row; an undecoded row gets nulls."""
+    """Apply *fn* to the gray image of every row; an undecoded row gets nulls.
+
+    Results leave the task in slices: a descriptor can be many times the size of its image.
+    """
     schema = T.StructType([df.schema[c] for c in keep] + list(fields))
     empty = (None,) * len(fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                fn(pixels.decode_row(h, w, c, d)) if h > 0 and w > 0 else empty
-                for h, w, c, d in zip(*(pdf[c] for c in IMAGE_COLUMNS))
-            ]
-            made = pd.DataFrame(rows, columns=[f.name for f in fields], index=pdf.index)
-            yield pd.concat([pdf[list(keep)], made], axis=1)
+        for batch in batches:
+            for start in range(0, len(batch), SLICE):
+                pdf = batch.iloc[start : start + SLICE]
+                rows = [
+                    fn(pixels.decode_row(h, w, c, d)) if h > 0 and w > 0 else empty
+                    for h, w, c, d in zip(*(pdf[c] for c in IMAGE_COLUMNS))
+                ]
+                made = pd.DataFrame(rows, columns=[f.name for f in fields], index=pdf.index)
+                yield pd.concat([pdf[list(keep)], made], axis=1)
 
     return df.select(*keep, *[c for c in IMAGE_COLUMNS if c not in keep]).mapInPandas(run, schema)
 
@@ -62,7 +69,7 @@ def image_dhash(df: DataFrame, keep: Sequence[str]) -> DataFrame:
 def gray_pixels(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Row-major gray values in [0, 1]."""
     field = T.StructField("px", T.ArrayType(T.DoubleType()))
-    return map_images(df, keep, [field], lambda g: (g.ravel().tolist(),))
+    return map_images(df, keep, [field], lambda g: (g.ravel(),))
 
 
 def hog_features(
@@ -74,7 +81,7 @@ def hog_features(
     def describe(g: np.ndarray) -> tuple:
         if resize:
             g = pixels.area_resize(g, resize, resize)
-        return (pixels.hog(g, cell, bins, block).tolist(),)
+        return (pixels.hog(g, cell, bins, block),)
 
     return map_images(df, keep, [field], describe)
 
@@ -92,7 +99,7 @@ def preprocess(
 
     def prepare(g: np.ndarray) -> tuple:
         out = (pixels.area_resize(g, resize, resize) - mean) / std
-        return (out.astype(np.float32).ravel().tolist(),)
+        return (out.astype(np.float32).ravel(),)
 
     return map_images(df, keep, [field], prepare)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,27 @@ def test_hog_dimension_and_range():
         pixels.hog(g[:16, :16])
 
 
+def test_descriptors_leave_a_task_in_slices(spark):
+    class Captured:
+        schema = spark.range(1).withColumnRenamed("id", "image_id").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    rng = np.random.default_rng(3)
+    data = [rng.integers(0, 256, 64, dtype=np.uint8).tobytes() for _ in range(700)]
+    batch = pd.DataFrame({"image_id": range(700), "height": 8, "width": 8, "nChannels": 1, "data": data})
+    out = list(features.hog_features(Captured(), ["image_id"], cell=2)(iter([batch])))
+    assert max(map(len, out)) <= 256
+    whole = pd.concat(out)
+    assert whole["image_id"].tolist() == list(range(700))
+    for d, hog in zip(data, whole["hog"]):
+        assert np.array_equal(hog, pixels.hog(pixels.decode_row(8, 8, 1, d), 2))
+
+
 def test_difference_hash_survives_small_noise():
     rng = np.random.default_rng(6)
     a = pixels.area_resize(rng.random((8, 9)), 64, 64)
