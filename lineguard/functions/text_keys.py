@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GRID_ROWS, GRID_COLS = 8, 9
+#: Tokens whose cell a task remembers.
+MAX_CELLS = 50_000
 _SPLIT = re.compile("[^a-z0-9]+")
 
 
@@ -33,7 +36,14 @@ def grid_key(text: str, cells: dict[str, int]) -> str:
     return np.packbits((grid[:, 1:] > grid[:, :-1]).ravel()).tobytes().hex()
 
 
-@F.pandas_udf(T.StringType())
-def text_grid_key(texts: pd.Series) -> pd.Series:
-    cells: dict[str, int] = {}  # token cells repeat within a batch
-    return texts.map(lambda t: None if t is None else grid_key(t, cells))
+@F.arrow_udf(T.StringType())
+def text_grid_key(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Texts are taken from the Arrow batch one at a time; nothing but their keys and a bounded cache is held."""
+    cells: dict[str, int] = {}  # token cells repeat between texts
+    for batch in texts:
+        keys = []
+        for text in batch:
+            keys.append(None if not text.is_valid else grid_key(text.as_py(), cells))
+            if len(cells) > MAX_CELLS:
+                cells.clear()
+        yield pa.array(keys, pa.string())

@@ -6,11 +6,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lineguard import params
-from lineguard.functions import pixels
+from lineguard.functions import pixels, text_keys
 from lineguard.operators import duplicates, features, model, quality, split
 from lineguard.sources import corpus as source
 from lineguard.sources import tables
@@ -242,6 +243,16 @@ def test_required_columns(copies):
 # -- provenance and model ---------------------------------------------------------------
 
 
+def test_near_keys_hold_a_bounded_cache(monkeypatch):
+    monkeypatch.setattr(text_keys, "MAX_CELLS", 10)
+    sizes, whole = [], text_keys.grid_key
+    monkeypatch.setattr(text_keys, "grid_key", lambda t, cells: (sizes.append(len(cells)), whole(t, cells))[1])
+    texts = [None if i % 7 == 0 else f"part {i} of a text, word{i * i}" for i in range(200)]
+    keys = [k for out in text_keys.text_grid_key.func(iter([pa.array(texts[:90]), pa.array(texts[90:])])) for k in out.to_pylist()]
+    assert keys == [None if t is None else whole(t, {}) for t in texts]
+    assert max(sizes) <= 10
+
+
 def test_normalise_numbers_collisions(spark):
     paths = ["/r/a/ok_front/x.png", "/r2/a/ok_front/x.png", "/r3/A/ok_front/x.png", "/r/b/def_front/y.JPG", "/r/b/other/z.png", "/r/b/ok_front/t.txt"]
     got = {r["path"]: (r["class_name"], r["dest"]) for r in source.normalise_corpus(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
