@@ -304,8 +304,9 @@ def src5(spark, sf):
 )
 def jn1(spark, sf):
     """Left join on the unique path; only the needed columns travel."""
-    stats = X.scan_docs(spark, sf).where("cast(substring(relpath, 5) AS bigint) % 4 <> 0").select("relpath", "words", "digit_share")
-    return X.manifest(spark, sf).select("relpath").join(stats, "relpath", "left")
+    scan = X.scan_docs(spark, sf)
+    stats = scan.where("cast(substring(relpath, 5) AS bigint) % 4 <> 0").select("relpath", "words", "digit_share")
+    return X.manifest(spark, sf, scan).select("relpath").join(stats, "relpath", "left")
 
 
 @register("jn1_missing_stats", "manifest", "SELECT relpath FROM manifest WHERE doc_id % 4 = 0")
@@ -372,7 +373,8 @@ def agg37(spark, sf):
     (SELECT count(*) FROM valid_docs) - count(*) AS exact_duplicates_dropped FROM manifest""",
 )
 def agg38(spark, sf):
-    card = split.dataset_card(X.manifest(spark, sf), X.scan_docs(spark, sf))
+    scan = X.scan_docs(spark, sf)
+    card = split.dataset_card(X.manifest(spark, sf, scan), scan)
     return card.select(
         "n_rows",
         F.col("class_counts")["ok"].alias("n_ok"),

@@ -190,11 +190,14 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(path.alias("path"))
 
 
-def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest with folds fixed by a hash rule, so every output has a SQL counterpart."""
+def manifest(spark: SparkSession, sf_dir: str, scan: DataFrame | None = None) -> DataFrame:
+    """Manifest with folds fixed by a hash rule, so every output has a SQL counterpart.
+
+    A query that reads the scan as well passes it as *scan*, so that it is made once.
+    """
     from lineguard.operators.split import with_groups
 
-    rows = with_groups(scan_docs(spark, sf_dir))
+    rows = with_groups(scan_docs(spark, sf_dir) if scan is None else scan)
     draw = hash_draw(params.SEED, F.col("group")) % 100
     split = F.when(draw < 65, "train").when(draw < 80, "val").otherwise("test")
     return rows.withColumn("split", split)

@@ -275,3 +275,12 @@ def test_control_model_learns_from_hog(spark, scan, corpus):
     scored = model.score_batch(fitted, hog, array_features="hog")
     assert scored.where("probability BETWEEN 0 AND 1").count() == rows.count()
     assert set(r[0] for r in scored.select("decision").distinct().collect()) <= {"auto_accept", "auto_reject", "human_review"}
+
+
+@pytest.mark.parametrize("name", ["jn1_manifest_with_stats", "agg38_dataset_card"])
+def test_a_query_scans_the_corpus_once(spark, monkeypatch, name):
+    from lineguard.plans import catalog, fixtures
+
+    calls, scan = [], fixtures.scan_docs
+    monkeypatch.setattr(fixtures, "scan_docs", lambda *a: (calls.append(a), scan(*a))[1])
+    assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
