@@ -312,8 +312,9 @@ def jn1(spark, sf):
 @register("jn1_missing_stats", "manifest", "SELECT relpath FROM manifest WHERE doc_id % 4 = 0")
 def jn1_missing(spark, sf):
     """The rows whose statistics have to be computed again."""
-    stats = X.scan_docs(spark, sf).where("cast(substring(relpath, 5) AS bigint) % 4 <> 0").select("relpath")
-    return X.manifest(spark, sf).select("relpath").join(stats, "relpath", "left_anti")
+    scan = X.scan_docs(spark, sf)
+    stats = scan.where("cast(substring(relpath, 5) AS bigint) % 4 <> 0").select("relpath")
+    return X.manifest(spark, sf, scan).select("relpath").join(stats, "relpath", "left_anti")
 
 
 @register("jn3_group_folds", "manifest", "SELECT relpath, split FROM manifest")

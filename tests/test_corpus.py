@@ -277,7 +277,7 @@ def test_control_model_learns_from_hog(spark, scan, corpus):
     assert set(r[0] for r in scored.select("decision").distinct().collect()) <= {"auto_accept", "auto_reject", "human_review"}
 
 
-@pytest.mark.parametrize("name", ["jn1_manifest_with_stats", "agg38_dataset_card"])
+@pytest.mark.parametrize("name", ["jn1_manifest_with_stats", "jn1_missing_stats", "agg38_dataset_card"])
 def test_a_query_scans_the_corpus_once(spark, monkeypatch, name):
     from lineguard.plans import catalog, fixtures
 
