@@ -16,11 +16,12 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lineguard.llm.common import stage
+from lineguard.llm.common import small_table, stage
 from lineguard.llm.token_counts import UNUSUAL, byte_letters
 
 SEQUENCE = 2048
@@ -114,7 +115,7 @@ def cut(text: Column, path: str, sequence: int = SEQUENCE, end_id: int = END_ID)
                 )
             yield pd.Series(out, dtype=object)
 
-    return pieces(text)
+    return pieces.asNondeterministic()(text)  # or the filter that Spark infers from an explode would encode each text again
 
 
 def knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,9 +253,8 @@ def places(spark: SparkSession, plan: list[tuple[dict[int, int], int]]) -> DataF
             used[size] = low + a * times
             rows.append((size, low, used[size], a, sequence, slot))
         sequence += times
-    return spark.createDataFrame(
-        rows, "size int, low long, high long, per_sequence int, first_sequence long, slot int"
-    )
+    kinds = {"size": pa.int32(), "low": pa.int64(), "high": pa.int64(), "per_sequence": pa.int32(), "first_sequence": pa.int64(), "slot": pa.int32()}
+    return small_table(spark, **{name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
 
 
 def ranked(pieces: DataFrame, n: int) -> DataFrame:

@@ -14,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lineguard.llm.common import sampled_rows
+from lineguard.llm.common import sampled_rows, small_table
 
 WINDOW = 32
 STRIDE = 16
@@ -312,7 +313,8 @@ def learn(docs: DataFrame, marks: DataFrame, usable: Column, id_col: str = "doc_
     marked = marks.where(F.col(mark_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
     marked = marked.agg(F.max(mark_col).cast("int").alias("mark"))
     picked = sampled_rows(marked.where(usable), F.col("mark"), PER_LABEL, F.col("id"))
-    chosen = docs.sparkSession.createDataFrame([(r["id"], r["mark"]) for r in picked], "id long, mark int")
+    ids, given = pa.array([r["id"] for r in picked], pa.int64()), pa.array([r["mark"] for r in picked], pa.int32())
+    chosen = small_table(docs.sparkSession, id=ids, mark=given)
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     found = own.join(F.broadcast(chosen), "id").groupBy("id", "mark").agg(F.min("text").alias("text"))
     rows = found.collect()  # at most the sample

@@ -497,3 +497,31 @@ def test_pipeline_runs(spark):
 def test_remainder_is_the_checksum_of_the_text(spark):
     rows = spark.range(50).select("id", remainder(F.col("id"), 5).alias("r")).collect()
     assert all(r["r"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in rows)
+
+
+# -- memory of the pipeline's Python workers
+
+
+def test_pieces_are_encoded_once(docs):
+    found = docs.select("doc_id", packing.cut(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")).alias("pieces"))
+    plan = found.select("doc_id", F.inline("pieces"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_small_tables_need_no_workers(spark):
+    full, empty = packing.places(spark, [({4: 2}, 3)]), packing.places(spark, [])
+    assert "RDD" not in full._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in full.collect()] == [(4, 0, 6, 2, 0, 0)] and empty.collect() == []
+    assert full.dtypes == empty.dtypes
+
+
+def test_stages_bound_the_batches_of_texts(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(key)
+    try:
+        for before, after in (("10000", "512"), ("0", "512"), ("100", "100")):
+            spark.conf.set(key, before)
+            corpus_pipeline.drop_near_duplicates(spark, load(spark, SF, "documents"), SF)
+            assert spark.conf.get(key) == after
+    finally:
+        spark.conf.set(key, given)
