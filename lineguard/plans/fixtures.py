@@ -14,7 +14,7 @@ from lineguard.functions.columns import hash_draw, predicted_class, predicted_la
 from lineguard.functions.text_keys import text_grid_key
 from lineguard.operators.drift import Reference, build_reference
 from lineguard.operators.quality import file_issues, with_validity
-from lineguard.session import stage
+from lineguard.session import bounded_batches, stage
 
 #: Fixed values of the fixture views.
 REVIEW_BAND = (0.47, 0.53)
@@ -174,7 +174,8 @@ def scan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             "std_intensity": F.coalesce(F.col("mean_word_length"), F.lit(0.0)) / 255.0,
         }
     )
-    return stage(with_validity(rows, file_issues(F.col("lang"), F.lit(True), DOC_RULES)), "scan")
+    with bounded_batches(spark):
+        return stage(with_validity(rows, file_issues(F.col("lang"), F.lit(True), DOC_RULES)), "scan")
 
 
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,3 +284,15 @@ def test_a_query_scans_the_corpus_once(spark, monkeypatch, name):
     calls, scan = [], fixtures.scan_docs
     monkeypatch.setattr(fixtures, "scan_docs", lambda *a: (calls.append(a), scan(*a))[1])
     assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
+
+
+def test_texts_reach_the_near_key_in_bounded_batches(spark, monkeypatch):
+    from lineguard.plans import fixtures
+    from lineguard.session import TEXT_ROWS
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(key)
+    monkeypatch.setattr(fixtures, "text_grid_key", F.arrow_udf(lambda texts: pa.array([str(len(texts))] * len(texts)), "string"))
+    found = fixtures.scan_docs(spark, "/root/testdata/sf0.01").select(F.col("dhash").cast("int").alias("n"))
+    assert found.agg(F.max("n")).first()[0] <= TEXT_ROWS < found.count()
+    assert spark.conf.get(key) == given
