@@ -23,6 +23,8 @@ from lineguard.operators.ordered import (
 from lineguard.session import stage
 
 INF = float("inf")
+#: Groups that share a copy of the reference in the KS distance.
+GROUPS_PER_SALT = 100_000
 
 
 # -- reference ---------------------------------------------------------------
@@ -322,14 +324,21 @@ def psi(
 # -- two-sample KS -----------------------------------------------------------
 
 
+def _salts(df: DataFrame, by: Sequence[str], parts: int) -> int:
+    """Copies of the reference: a value comes once per group, so only many groups need more than one."""
+    if not by:
+        return 1
+    groups = df.agg(F.approx_count_distinct(F.xxhash64(*by))).first()[0]
+    return min(max(1, parts // 8), 1 + groups // GROUPS_PER_SALT)
+
+
 def _reference_at(
-    current: DataFrame, by: Sequence[str], there: DataFrame, cuts: Sequence[tuple], parts: int
+    current: DataFrame, by: Sequence[str], there: DataFrame, cuts: Sequence[tuple], salts: int
 ) -> DataFrame:
     """*current* with ``n_ref``, ``cum_n_ref`` and ``tot_n_ref``: reference rows at its value, up to it, and of its feature.
 
     *there* holds ``(feature, value, n_ref)``. Values of a feature without a reference are left out.
     """
-    salts = max(1, parts // 8) if by else 1
     salt = F.pmod(F.xxhash64(*by), F.lit(salts)) if by else F.lit(0).cast("bigint")
     copies = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
     ours = current.select(*current.columns, F.lit(0).cast("bigint").alias("n_ref"), F.lit(True).alias("_own"), salt.alias("_salt"))
@@ -374,15 +383,15 @@ def ks_two_sample(
     The distance is attained at, or just below, a value of the current sample, so
     the reference CDF is read at those values only: both samples go through the value ranges as one tagged stream,
     in which a running sum of the reference counts passes every current value. No value is joined to. Groups are
-    dealt over salts, each with its own copy of the counted reference, so that a value which every group shows is not
-    one task. ``bounded`` states that each group of *df* is small by construction.
+    dealt over salts, each with its own copy of the counted reference, so that a value which very many groups show is
+    not one task. ``bounded`` states that each group of *df* is small by construction.
     """
     by = list(by)
     rows = unpivot_features(df, by, features)
     current = value_counts(rows, [*by, "feature"], "value")
     there = reference.values.select("feature", "value", F.col("n").alias("n_ref"))
     cuts = cut_points(rows.select("value").union(there.select("value")), ["value"], ["value"], default_parts(df))
-    both = _reference_at(current, by, there, cuts, default_parts(df))
+    both = _reference_at(current, by, there, cuts, _salts(df, by, default_parts(df)))
     both = running_sums(both, [*by, "feature"], ["value"], ["n"], bounded=bounded, cuts=cuts)
     total = F.col("tot_n_ref").cast("double")
     cur_at, cur_below = (

@@ -181,3 +181,24 @@ def test_reference_store_round_trip(spark, normal, tmp_path):
     assert back["x"] == stored.frozen()["x"]["bin_edges"]
     with pytest.raises(FileNotFoundError):
         tables.load_reference(spark, f"{tmp_path}/absent")
+
+
+def test_few_groups_share_one_copy_of_the_reference(spark, monkeypatch):
+    from lineguard.plans import fixtures
+
+    sf, key = "/root/testdata/sf0.001", "spark.sql.shuffle.partitions"
+    given = spark.conf.get(key)
+    reference, log = fixtures.reference(spark, sf), fixtures.preds(spark, sf)
+
+    seen, whole = [], drift._reference_at
+    monkeypatch.setattr(drift, "_reference_at", lambda *args: (seen.append(args[-1]), whole(*args))[1])
+    found = []
+    try:
+        spark.conf.set(key, "32")
+        for shared in (drift.GROUPS_PER_SALT, 1):
+            monkeypatch.setattr(drift, "GROUPS_PER_SALT", shared)
+            ks = drift.ks_two_sample(log, ["scenario"], reference, fixtures.PRED_FEATURES)
+            found.append(sorted(map(str, ks.collect())))
+        assert seen == [1, 4] and found[0] == found[1]
+    finally:
+        spark.conf.set(key, given)
