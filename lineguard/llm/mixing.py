@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineguard.llm.common import fresh, stage
+from lineguard.llm.common import few, fresh, held, stage
 
 #: Powers that temper the shares of the corpus into default targets: 1 keeps them, 0 makes them equal.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
@@ -91,10 +91,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         named = target.select(F.col(dim).alias("value"), F.col("target").alias(f"to_{dim}"))
         out = out.join(named, out[dim].eqNullSafe(named["value"]), "left").drop("value")
     out = stage(out.withColumn("share", F.col("tokens").cast("double")), "raked")
+    small = few(out)
+    out = held(out, small)
     before, off = float("inf"), float("inf")
     while off > tolerance and off <= STALLED * before:
         for dim in targets:
-            out = stage(_step(out, dim), "raked")  # keeps the plan short
+            out = held(stage(_step(out, dim), "raked"), small)  # keeps the plan short
         before, off = off, off_target(out, list(targets))
     return out.drop(*[f"to_{dim}" for dim in targets]), off
 
@@ -141,6 +143,7 @@ def mix(
     axes = {"source": F.col(dims[0]), "lang": F.col(dims[1]), "topic": F.col(names["topic"])}
     cells = counted.groupBy(*[c.alias(n) for n, c in axes.items()]).agg(F.sum(names["tokens"]).alias("tokens"))
     cells = stage(cells, "cells")
+    cells = held(cells, few(cells))
     wanted = targets or {dim: tempered(cells, dim, power) for dim, power in TEMPER.items()}
     raked, off = rake(cells, wanted)
     fitted = calibrate(raked, budget).select(*[F.col(n).alias(f"__{n}") for n in axes], F.col("probability").alias(names["probability"]))

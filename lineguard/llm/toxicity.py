@@ -33,8 +33,10 @@ EPOCHS = 5
 LEAST_STEPS = 100
 _BATCH = 128
 _RATE = 0.02
-#: Windows that are scored at a time, and words whose numbers each worker keeps.
-_WINDOWS = 4_096
+#: Windows that are scored at a time and words whose n-grams are looked up at a time: both bound the memory beside the
+#: sample on the driver. Then the words whose numbers each worker keeps.
+_WINDOWS = 512
+_AT_ONCE = 4_096
 CACHED_WORDS = 300_000
 _WORD = re.compile(r"\w+")
 
@@ -56,6 +58,16 @@ def _gram_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(slots)[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(words))
 
 
+def _all_gram_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``_gram_slots`` of any number of words, some at a time, so that only the rows themselves grow with the words."""
+    slots, per = [], []
+    for lo in range(0, len(words), _AT_ONCE):
+        found, n = _gram_slots(words[lo : lo + _AT_ONCE])
+        slots.append(found.astype(np.int32))
+        per.append(n)
+    return np.concatenate(slots), np.concatenate(per)
+
+
 def _word_slot(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"), 1) % WORDS
 
@@ -98,9 +110,13 @@ class Network:
         return self._joined(np.array([_word_slot(w) for w in words]), slots, per)
 
     def _joined(self, word_slots: np.ndarray, gram_slots: np.ndarray, per: np.ndarray) -> np.ndarray:
-        starts = np.concatenate(([0], np.cumsum(per)[:-1]))
-        means = np.add.reduceat(self.p["gram"][gram_slots], starts, axis=0) / per[:, None]
-        return np.concatenate((self.p["word"][word_slots], means.astype(np.float32)), axis=1)
+        out, starts = np.zeros((len(per), 2 * VECTOR), np.float32), np.cumsum(per) - per
+        out[:, :VECTOR] = self.p["word"][word_slots]
+        for lo in range(0, len(per), _AT_ONCE):
+            own, first = per[lo : lo + _AT_ONCE], starts[lo : lo + _AT_ONCE]
+            found = self.p["gram"][gram_slots[first[0] : first[-1] + own[-1]]]
+            out[lo : lo + len(own), VECTOR:] = np.add.reduceat(found, first - first[0], axis=0) / own[:, None]
+        return out
 
     def _run(self, x: np.ndarray, real: np.ndarray, d: str, keep: bool):
         """States of one direction over ``x[time, window]``; where *real* is 0 the state stays."""
@@ -177,12 +193,21 @@ def _windows_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     rows, owner = [], []
     for k, ids in enumerate(docs):
         starts = windows(len(ids))
-        padded = np.concatenate((ids, np.full(starts[-1] + WINDOW, -1)))[: starts[-1] + WINDOW]
+        padded = np.concatenate((ids, np.full(starts[-1] + WINDOW, -1, ids.dtype)))[: starts[-1] + WINDOW]
         rows.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE])
         owner.append(np.full(len(starts), k))
     return np.concatenate(rows), np.concatenate(owner)
 
 
+def _odds(vectors: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of the log-odds in each window, by which the first windows are chosen."""
+    out = np.zeros(len(rows), np.float32)
+    for lo in range(0, len(rows), _WINDOWS):
+        part = rows[lo : lo + _WINDOWS]
+        out[lo : lo + len(part)] = vectors[part, 0].sum(axis=1) + vectors[part, VECTOR].sum(axis=1)
+    return out
+
+
 def _logits(net: Network, vectors: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """*vectors* holds the input of each word number and zeros in its last row."""
     out = np.zeros(len(rows), np.float32)
@@ -201,13 +226,18 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         p["c"][0] = 5.0 if labels and labels[0] else -5.0
         return net
     number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int64) for t in texts]
+    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int32) for t in texts]
     if not number:
         return net
     slots_w = np.array([_word_slot(w) for w in number])
-    slots_g, per = _gram_slots(list(number))
-    grams = np.split(slots_g, np.cumsum(per)[:-1])
-    for name, size, slots in (("word", WORDS, lambda i: slots_w[i]), ("gram", GRAMS, lambda i: np.concatenate([grams[k] for k in i]))):
+    slots_g, per = _all_gram_slots(list(number))
+    first_g = np.cumsum(per) - per
+
+    def grams(ids: np.ndarray) -> np.ndarray:
+        n = per[ids]
+        return slots_g[np.repeat(first_g[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    for name, size, slots in (("word", WORDS, lambda i: slots_w[i]), ("gram", GRAMS, grams)):
         seen = np.zeros((2, size))
         for ids, label in zip(docs, labels):
             if len(ids):
@@ -231,7 +261,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     for epoch in range(rounds):
         if epoch * epochs % rounds < epochs:  # the windows are chosen anew *epochs* times
             vectors = inputs()
-            score = vectors[rows, 0].sum(axis=1) + vectors[rows, VECTOR].sum(axis=1) if epoch == 0 else _logits(net, vectors, rows)
+            score = _odds(vectors, rows) if epoch == 0 else _logits(net, vectors, rows)
             best = np.lexsort((-score, owner))[first_of]
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), _BATCH):
@@ -241,7 +271,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             own = np.zeros((len(distinct), 2 * VECTOR), np.float32)
             known = distinct >= 0
             ids = distinct[known]
-            flat = np.concatenate([grams[i] for i in ids]) if len(ids) else np.zeros(0, np.int64)
+            flat = grams(ids)
             if len(ids):
                 own[known] = net._joined(slots_w[ids], flat, per[ids])
             x = own[back.reshape(part.shape)]

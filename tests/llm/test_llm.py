@@ -156,6 +156,55 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}, 300: 300, 301: 300}
 
 
+def _tasks(spark, group, run):
+    """What *run* returns, and how many tasks its jobs had."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    at = spark.sparkContext.statusTracker()
+    stages = {s for job in at.getJobIdsForGroup(group) for s in at.getJobInfo(job).stageIds}
+    return out, sum(at.getStageInfo(s).numTasks for s in stages if at.getStageInfo(s))
+
+
+def test_components_of_few_links_do_not_cost_a_task_for_each_shuffle_partition(spark, monkeypatch):
+    links = [(i, i + 1) for i in range(20)] + [(30, 40 + i) for i in range(9)] + [(None, 5), (7, None), (8, 8), (1, 0)]
+    wanted = {i: 0 for i in range(21)} | {30: 30} | {40 + i: 30 for i in range(9)}
+    given = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in given}
+    run = lambda: {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        got, few = _tasks(spark, "few links", run)
+        monkeypatch.setattr("lineguard.llm.common.FEW_ROWS", -1)
+        shuffled, many = _tasks(spark, "many links", run)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == shuffled == wanted
+    assert few < 150 < many, (few, many)
+
+
+def test_mixing_of_few_cells_does_not_cost_a_task_for_each_shuffle_partition(spark, docs, monkeypatch):
+    given = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in given}
+    run = lambda: {r["doc_id"]: (r["probability"], r["kept"]) for r in mixing.mix(docs).collect()}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        got, few = _tasks(spark, "few cells", run)
+        monkeypatch.setattr("lineguard.llm.common.FEW_ROWS", -1)
+        shuffled, many = _tasks(spark, "many cells", run)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {d: p for d, (p, _) in got.items()} == pytest.approx({d: p for d, (p, _) in shuffled.items()})
+    assert {d: k for d, (_, k) in got.items()} == {d: k for d, (_, k) in shuffled.items()}
+    assert few < many / 4, (few, many)
+
+
 # -- embeddings
 
 
@@ -351,6 +400,21 @@ def test_gradients_of_the_network():
         assert (up - down) / 2e-3 == pytest.approx(value[at], abs=2e-4), k
 
 
+def test_training_holds_little_beside_its_sample():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (64_000, 9))]
+    texts = [" ".join(words[100 * k : 100 * k + 100]) for k in range(640)]
+    tracemalloc.start()
+    try:
+        toxicity.train(texts, [k % 2 for k in range(640)], epochs=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80e6, peak  # 640 KB of text, 64,000 words
+
+
 def test_toxicity_finds_rude_windows_anywhere():
     rng = np.random.default_rng(4)
     clean = [f"w{i}" for i in range(300)]
